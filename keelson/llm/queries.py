@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_score, mixing, quality, sentencepiece_codec, token_count, url_filter
+from . import exact_dedup, lm_score, mixing, near_dedup, quality, sentencepiece_codec, token_count, url_filter
 from ._common import LOWER, UPPER, table
 
 
@@ -18,6 +18,10 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("stays", "_kid", "_kh")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("_kid", "_kh")
 
@@ -38,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("_kid", "_kh")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_likelihood, op3_token_count, op5_exact_dedup, op6_sentencepiece, op7_quality_outliers, op9_url_filter, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_likelihood, op3_token_count, op4_chosen_path, op5_exact_dedup, op6_sentencepiece, op7_quality_outliers, op9_url_filter, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": f"""
