@@ -1,0 +1 @@
+"""No streaming operator is in scope yet. The diff and join operators take batch DataFrames only."""
