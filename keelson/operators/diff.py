@@ -77,17 +77,20 @@ def compared_columns(left: DataFrame, right: DataFrame, config: DiffConfig) -> l
     return columns
 
 
-def _sided(df: DataFrame, side: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Keys as k0, k1 …, the compared columns as <side>0 …, and the whole row."""
-    return df.select(
-        *[F.col(name(k)).alias(f"k{i}") for i, k in enumerate(keys)],
-        *[F.col(name(c)).alias(f"{side}{i}") for i, c in enumerate(columns)],
-        F.struct(*[F.col(name(c)) for c in df.columns]).alias(f"{side}_row"),
-    )
+def _sided(df: DataFrame, side: str, keys: Sequence[str]) -> DataFrame:
+    """Keys as k0, k1 …, the other columns as <side>_<column>, and a flag <side>_here; each column once, so that a shuffle
+    carries nothing twice and unused columns are pruned."""
+    others = [F.col(name(c)).alias(f"{side}_{c}") for c in df.columns if c not in keys]
+    return df.select(*[F.col(name(k)).alias(f"k{i}") for i, k in enumerate(keys)], *others, F.lit(True).alias(f"{side}_here"))
+
+
+def _whole(df: DataFrame, side: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows of one side with their own names and order."""
+    return df.select(*[F.col(f"k{list(keys).index(c)}" if c in keys else name(f"{side}_{c}")).alias(c) for c in columns])
 
 
 def _differs(columns: Sequence[str]) -> list[Column]:
-    return [~F.col(f"l{i}").eqNullSafe(F.col(f"r{i}")) for i in range(len(columns))]
+    return [~F.col(name(f"l_{c}")).eqNullSafe(F.col(name(f"r_{c}"))) for c in columns]
 
 
 def _same_keys(a: DataFrame, b: DataFrame, n: int) -> Column:
@@ -97,7 +100,7 @@ def _same_keys(a: DataFrame, b: DataFrame, n: int) -> Column:
 def _changed_rows(pairs: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     differs = _differs(columns)
     names = F.array_compact(F.array(*[F.when(d, F.lit(c)) for d, c in zip(differs, columns, strict=True)])) if columns else F.array().cast("array<string>")
-    sides = [F.col(f"{s}{i}").alias(f"{side}_{c}") for i, c in enumerate(columns) for s, side in (("l", "left"), ("r", "right"))]
+    sides = [F.col(name(f"{side[0]}_{c}")).alias(f"{side}_{c}") for c in columns for side in ("left", "right")]
     return pairs.where(any_of(differs)).select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], names.alias("changed_columns"), *sides)
 
 
@@ -116,27 +119,27 @@ def diff(left: DataFrame, right: DataFrame, config: DiffConfig, strategy: str =
         raise ValueError(f"unknown strategy {strategy}; there are {', '.join(STRATEGIES)}")
     columns, keys = compared_columns(left, right, config), list(config.keys)
     n = len(keys)
-    a, b = _sided(left, "l", keys, columns), _sided(right, "r", keys, columns)
+    a, b = _sided(left, "l", keys), _sided(right, "r", keys)
     key_names = [f"k{i}" for i in range(n)]
     if strategy == "full":
-        both = a.join(b, _same_keys(a, b, n), "full_outer").select(*[F.coalesce(a[k], b[k]).alias(k) for k in key_names], *[c for c in a.columns if c not in key_names], *[c for c in b.columns if c not in key_names])
-        only_right, only_left = F.col("l_row").isNull(), F.col("r_row").isNull()
-        added, removed = both.where(only_right).select("r_row.*"), both.where(only_left).select("l_row.*")
-        changed = both.where(~only_right & ~only_left)
-        # One pass; whole rows are not needed for counts, and are pruned.
+        others = [c for c in [*a.columns, *b.columns] if c not in key_names]
+        both = a.join(b, _same_keys(a, b, n), "full_outer").select(*[F.coalesce(a[k], b[k]).alias(k) for k in key_names], *[F.col(name(c)) for c in others])
+        only_right, only_left = F.col("l_here").isNull(), F.col("r_here").isNull()
+        added, removed = _whole(both.where(only_right), "r", keys, right.columns), _whole(both.where(only_left), "l", keys, left.columns)
+        changed = _changed_rows(both.where(~only_right & ~only_left), keys, columns)
+        # One pass, in which columns that aren't compared are pruned.
         counts = both.agg(F.count_if(only_right).alias("added"), F.count_if(only_left).alias("removed"), F.count_if(~only_right & ~only_left & any_of(_differs(columns))).alias("changed"))
-        changed = _changed_rows(changed, keys, columns)
     else:
         ka, kb = a.select(key_names), b.select(key_names)
-        added = b.join(ka, _same_keys(b, ka, n), "left_anti").select("r_row.*")
-        removed = a.join(kb, _same_keys(a, kb, n), "left_anti").select("l_row.*")
+        added = _whole(b.join(ka, _same_keys(b, ka, n), "left_anti"), "r", keys, right.columns)
+        removed = _whole(a.join(kb, _same_keys(a, kb, n), "left_anti"), "l", keys, left.columns)
         if strategy == "hash" and columns:
             ha = left.select(*[F.col(name(k)).alias(f"k{i}") for i, k in enumerate(keys)], row_hash(columns).alias("h"))
             hb = right.select(*[F.col(name(k)).alias(f"k{i}") for i, k in enumerate(keys)], row_hash(columns).alias("h"))
             suspects = ha.join(hb, _same_keys(ha, hb, n) & (ha["h"] != hb["h"])).select(*[ha[k].alias(f"s_{k}") for k in key_names]).distinct()
             pick = lambda df: df.join(suspects, all_of(df[k].eqNullSafe(suspects[f"s_{k}"]) for k in key_names), "left_semi")
             a, b = pick(a), pick(b)
-        pairs = a.join(b, _same_keys(a, b, n)).select(*[a[k] for k in key_names], *[f"{s}{i}" for i in range(len(columns)) for s in "lr"])
+        pairs = a.join(b, _same_keys(a, b, n)).select(*[a[k] for k in key_names], *[F.col(name(f"{s}_{c}")) for c in columns for s in "lr"])
         changed = _changed_rows(pairs, keys, columns)
         parts = _count(added, "added").union(_count(removed, "removed")).union(_count(changed, "changed"))
         counts = parts.agg(*[F.max(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("added", "removed", "changed")])
