@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_score, mixing, near_dedup, quality, sentencepiece_codec, token_count, url_filter
+from . import exact_dedup, lm_score, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, token_count, url_filter
 from ._common import LOWER, UPPER, table
 
 
@@ -34,6 +34,10 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -42,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("_kid", "_kh")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_likelihood, op3_token_count, op4_chosen_path, op5_exact_dedup, op6_sentencepiece, op7_quality_outliers, op9_url_filter, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_likelihood, op3_token_count, op4_chosen_path, op5_exact_dedup, op6_sentencepiece, op7_quality_outliers, op8_suffix_dedup, op9_url_filter, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": f"""
