@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_score, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, token_count, url_filter
+from . import exact_dedup, lm_score, mixing, near_dedup, passage_chains, quality, sentencepiece_codec, suffix_dedup, token_count, url_filter
 from ._common import LOWER, UPPER, table
 
 
@@ -14,6 +14,10 @@ def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op2_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_chains.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("_kid", "_kh")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_likelihood, op3_token_count, op4_chosen_path, op5_exact_dedup, op6_sentencepiece, op7_quality_outliers, op8_suffix_dedup, op9_url_filter, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lattice_likelihood, op2_passage_chains, op3_token_count, op4_chosen_path, op5_exact_dedup, op6_sentencepiece, op7_quality_outliers, op8_suffix_dedup, op9_url_filter, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": f"""
