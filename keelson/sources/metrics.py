@@ -80,10 +80,9 @@ def from_event_log(spark: SparkSession, path: str) -> Metrics:
     memory = of("SparkListenerBlockManagerAdded").groupBy(F.col("`Block Manager ID`.`Executor ID`").alias("executor_id")).agg(F.max("`Maximum Memory`").alias("max_memory"))
     heap = task.groupBy(F.col("on").alias("executor_id")).agg(F.max("heap").alias("peak_jvm_heap"))
     executors = added.join(removed, "executor_id", "left").join(memory, "executor_id", "left").join(heap, "executor_id", "left").withColumn("is_active", F.coalesce("is_active", F.lit(True)))
-    # Sizes of broadcasts are updates, from the driver, of a metric that the plan names.
-    metric = r'"name":"data size","accumulatorId":(\d+)'
-    exchange = r'"nodeName":"BroadcastExchange.*?"metrics":\[(.*?)\]'
-    planned = events.where("sparkPlanInfo IS NOT NULL").select(F.explode(F.regexp_extract_all("sparkPlanInfo", F.lit(exchange), 1)).alias("m")).select(F.regexp_extract("m", metric, 1).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+    # Exchanges have a metric "data size"; only broadcasts update it from the driver.
+    metric = r'"name":\s*"data size",\s*"accumulatorId":\s*(\d+)'
+    planned = events.where("sparkPlanInfo IS NOT NULL").select(F.explode(F.regexp_extract_all("sparkPlanInfo", F.lit(metric), 1)).alias("id")).select(F.col("id").cast("long")).distinct()
     updates = of("SparkListenerDriverAccumUpdates").select(F.explode("accumUpdates").alias("u")).select(F.col("u")[0].alias("id"), F.col("u")[1].alias("bytes"))
     broadcasts = updates.join(planned, "id", "left_semi").groupBy(F.concat(F.lit("broadcast_"), F.col("id")).alias("name")).agg(F.max("bytes").alias("bytes"))
     jobs = of("SparkListenerJobStart").select(F.col("`Job ID`").alias("job_id"), F.explode_outer("`Stage IDs`").alias("stage_id"), F.col("Properties")["spark.sql.execution.id"].try_cast("long").alias("execution_id"))
