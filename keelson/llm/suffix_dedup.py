@@ -115,7 +115,7 @@ def _halves(length: int):
                     if low > high:
                         continue
                     own, anchor = data[low : high + length], place - low
-                    core = data[place - a : place - b + 1 + length]
+                    core = data[place - a : max(place - a, place - b + 1 + length)]  # empty where the places are many
                     group = hashlib.blake2b(core + grp.to_bytes(8, "little", signed=True) + a.to_bytes(4, "little"), digest_size=8).digest()
                     content = hashlib.blake2b(own + anchor.to_bytes(4, "little"), digest_size=8).digest()
                     for column, value in zip(out, (d1, d2, int.from_bytes(group, "little", signed=True), int.from_bytes(content, "little", signed=True), start + low, anchor, a, b, own), strict=True):
