@@ -10,7 +10,6 @@ import re
 from dataclasses import dataclass, field
 
 _NODE = re.compile(r"^[\s:+\-|!*]*(?:\*?\s*\((\d+)\)\s*)?(?P<body>[A-Z(].*)$")
-_NUMBER = re.compile(r"\((\d+)\)")
 JOINS, CARTESIANS = ("SortMergeJoin", "ShuffledHashJoin"), ("CartesianProduct", "BroadcastNestedLoopJoin")
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "FlatMapGroupsInArrow", "MapInPandas", "MapInArrow", "AggregateInPandas", "ArrowAggregatePython")
 LIMITS = ("CollectLimit", "GlobalLimit")
@@ -63,8 +62,9 @@ def parse_plan(text: str) -> ParsedPlan:
         if word is None:
             continue
         operator = word[0]
-        # The number of an operator: before it, or the last on the line of a tree.
-        number = _NUMBER.match(node["body"]) or re.search(r"\((\d+)\)\s*$", line)
+        # The number of an operator: at the start of its details, or at the end of its line in a formatted tree. (That after
+        # an asterisk is of a code generation stage.)
+        number = re.match(r"\((\d+)\) ", line) or re.search(r"\((\d+)\)\s*$", line)
 
         def new(what: str, number=number) -> bool:
             if number is None:
