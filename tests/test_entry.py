@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not SF.is_dir(), reason="needs the driver's tabl
 
 def normal(df):
     def value(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if str(v) in ("None", "nan", "<NA>", "NaT"):
             return "null"
         return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) else str(v)
 
