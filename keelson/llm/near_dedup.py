@@ -7,9 +7,10 @@ signature; a large one branches on. Pairs whose signatures look similar are conf
 and confirmed links make components.
 
 Skew: each node first links its members with its smallest one only, so large groups of near copies become components at
-linear cost; a node is then worked on only if it still holds several components, and only pairs across them are compared. A
-passage that many documents share makes large nodes, whose members part as deeper tokens fall outside it. Nodes larger than
-`SMALL` at the greatest depth are compared in full, a block of members against each other block.
+linear cost; a node is then worked on only if it still holds several components, and only pairs across them are compared: a
+node is small if few members are outside its largest component, and each of those is compared with all, in blocks. A passage
+that many documents share makes large nodes, whose members part as deeper tokens fall outside it. Nodes that are not small
+at the greatest depth are compared in full, a block of members against each other block.
 
 Defined cases: null or wordless text has no set, and is linked with nothing; texts with fewer words than a shingle have one
 shingle, all their words; repeated rows are one class; a null id is larger than any other; an empty table gives an empty
@@ -30,8 +31,9 @@ from ._common import attach, materialize, with_key
 from ._text import GOLD, U64, Block, blocks, mix, prefix_hashes, shingles, span_hashes
 from .components import components
 
-#: Minwise tokens of a signature; independent trees; largest node compared exhaustively; greatest depth.
-TOKENS, TREES, SMALL, DEPTH = 128, 8, 40, 24
+#: Minwise tokens of a signature; independent trees; most members outside the largest component of a
+#: node compared exhaustively; greatest depth.
+TOKENS, TREES, SMALL, DEPTH = 128, 8, 40, 16
 #: A pair whose signatures agree in less than the threshold by so many standard deviations is not confirmed.
 DEVIATIONS = 4.0
 SALTS = mix((np.arange(1, TOKENS + 1).astype(U64)) * GOLD)
@@ -173,26 +175,48 @@ def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, id_col: str, text_c
     return materialize(found, "near-texts")
 
 
-def _exhaustive(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs of members across components in small nodes whose signatures agree enough. nodes: members: array of (rep,
-    component, signature)."""
+def _compared(blocks_: DataFrame, least: float) -> DataFrame:
+    """Pairs across components whose signatures agree enough, between `members` and `minors` (arrays of (rep, component,
+    signature)) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def arrays(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            bits = np.frombuffer(b"".join(m["signature"] for m in found), "<u2").reshape(-1, TOKENS)
+            return np.array([m["rep"] for m in found]), np.array([m["component"] for m in found]), bits
+
         for batch in batches:
             a, b = [], []
-            for members in batch.column(0).to_pylist():
-                rep = np.array([m["rep"] for m in members])
-                comp = np.array([m["component"] for m in members])
-                bits = np.frombuffer(b"".join(m["signature"] for m in members), "<u2").reshape(-1, TOKENS)
-                for i in range(len(rep) - 1):
-                    alike = (bits[i + 1 :] == bits[i]).mean(axis=1) >= least
-                    j = np.flatnonzero(alike & (comp[i + 1 :] != comp[i])) + i + 1
-                    a.append(np.minimum(rep[i], rep[j]))
-                    b.append(np.maximum(rep[i], rep[j]))
+            for members, minors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rep, comp, bits = arrays(members)
+                for r, c, own in zip(*arrays(minors), strict=True):
+                    j = np.flatnonzero(((bits == own).mean(axis=1) >= least) & (comp != c))
+                    a.append(np.minimum(rep[j], r))
+                    b.append(np.maximum(rep[j], r))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return nodes.select("members").mapInArrow(run, "a bigint, b bigint").distinct()
+    return blocks_.select("members", "minors").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+MEMBER = ("rep", "component", "signature")
+
+
+def _dealt(own: DataFrame) -> DataFrame:
+    """The members of each node in blocks of about SMALL."""
+    at = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / SMALL))
+    return own.groupBy("node", at.alias("at")).agg(F.collect_list(F.struct(*MEMBER)).alias("members"))
+
+
+def _exhaustive(own: DataFrame, least: float) -> DataFrame:
+    """Nodes in which few members are outside the largest component: each of those against all members."""
+    minors = own.where("component <> major").groupBy("node").agg(F.collect_list(F.struct(*MEMBER)).alias("minors"))
+    return _compared(_dealt(own).join(minors.hint("merge"), "node"), least)
+
+
+def _blockwise(own: DataFrame, least: float) -> DataFrame:
+    """Nodes at the greatest depth, in full: each block of members against each block."""
+    blocks_ = _dealt(own)
+    return _compared(blocks_.join(blocks_.select("node", F.col("members").alias("minors")).hint("merge"), "node"), least)
 
 
 def _children(big: DataFrame) -> DataFrame:
@@ -210,14 +234,6 @@ def _children(big: DataFrame) -> DataFrame:
     return big.select("node", "rep", "component", "signature")
 
 
-def _blockwise(big: DataFrame, least: float) -> DataFrame:
-    """Pairs across components in large nodes at the greatest depth: each block of members with each other block."""
-    n_blocks = F.ceil(F.col("n") / SMALL)
-    dealt = big.withColumn("at", F.pmod(F.xxhash64("rep", "node"), n_blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    cells = dealt.groupBy("node", F.least("at", "with").alias("x"), F.greatest("at", "with").alias("y"))
-    return _exhaustive(cells.agg(F.collect_list(F.struct("rep", "component", "signature")).alias("members")), least)
-
-
 def links(docs: DataFrame, described: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(classes: class_key, rep, id; links between classes: a < b, by rep). described: with `row`."""
     threshold = percent / 100
@@ -238,9 +254,11 @@ def links(docs: DataFrame, described: DataFrame, k: int, percent: int, id_col: s
     joined = components(found)
 
     def mixed(part: DataFrame) -> DataFrame:
-        """Members of nodes that hold several components, with the node's size."""
-        sizes = part.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        sizes = materialize(sizes.where("lo < hi").select("node", "n"), "near-nodes")
+        """Members of nodes that hold several components, with the node's size, its largest component, and how many members
+        are outside of that."""
+        sizes = part.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("node")
+        sizes = sizes.agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        sizes = materialize(sizes.select("node", "n", F.col("top.component").alias("major"), (F.col("n") - F.col("top.k")).alias("outside")), "near-nodes")
         return part.join(sizes.hint("merge"), "node")
 
     own = members.select("node", "rep").join(joined.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -248,9 +266,8 @@ def links(docs: DataFrame, described: DataFrame, k: int, percent: int, id_col: s
     pairs = []
     for depth in range(DEPTH):
         own = materialize(own, "near-level")
-        small = own.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("rep", "component", "signature")).alias("members"))
-        pairs.append(materialize(_exhaustive(small, least), "near-pairs"))
-        big = own.where(F.col("n") > SMALL)
+        pairs.append(materialize(_exhaustive(own.where(F.col("outside") <= SMALL), least), "near-pairs"))
+        big = own.where(F.col("outside") > SMALL)
         if big.isEmpty():
             break
         if depth == DEPTH - 1:
