@@ -178,6 +178,39 @@ def test_passages(spark):
     assert passage_chains.shared_passages(docs(spark, [])).count() == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(-6, 3), min_size=1, max_size=25))
+def test_longest_run(steps):
+    sums = [0, *np.cumsum(steps).tolist()]
+    first, last = passage_chains.longest_run(sums, 0, len(steps), 1.0)
+    assert sums[last] - sums[first] + 1 >= 0
+    assert last - first == max(j - i for i in range(len(sums)) for j in range(i, len(sums)) if sums[j] - sums[i] + 1 >= 0)
+
+
+def brute_places(a, b, n):
+    """Places of a in runs of n words that b has too."""
+    runs = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
+    return {p for i in range(len(a) - n + 1) if tuple(a[i : i + n]) in runs for p in range(i, i + n)}
+
+
+def test_two_passages_of_a_pair(spark):
+    """At no distance do two passages of one pair of documents cancel each other."""
+    rng = random.Random(12)
+    rows = []
+    for i, (size, gap) in enumerate([(n, g) for n in (60, 200) for g in (0, 10, 25, 50, 80, 100, 150, 250, 400, 700, 900)]):
+        one, two = words(rng, size, 10**6), words(rng, size, 10**6)
+        rows += [(2 * i + j, " ".join([*words(rng, 20, 10**6), *one, *words(rng, gap, 10**6), *two, *words(rng, 30, 10**6)])) for j in range(2)]
+    covered = defaultdict(set)
+    for r in passage_chains.shared_passages(docs(spark, rows)).collect():
+        assert r["doc_id"] // 2 == r["other_doc_id"] // 2 and r["common_words"] >= 40 and r["identity"] >= 0.8
+        covered[r["doc_id"] // 2] |= set(range(r["first_word"], r["end_word"]))
+        own = r["doc_id"]
+        pair = rows[own][1].split(), rows[r["other_doc_id"]][1].split()
+        covered[own // 2, "all"] = brute_places(*pair, 40)
+    for i in range(len(rows) // 2):
+        assert covered[i, "all"] and covered[i] >= covered[i, "all"]
+
+
 # -- Suffixes -------------------------------------------------------------------------------------------------------------
 
 
