@@ -211,6 +211,27 @@ def test_two_passages_of_a_pair(spark):
         assert covered[i, "all"] and covered[i] >= covered[i, "all"]
 
 
+def test_turns():
+    assert passage_chains.turns(np.array([0, 0, 0, 1, 1, 1]), np.array([5, 7, 5, 5, 5, 5])).tolist() == [0, 0, 1, 0, 1, 2]
+
+
+def test_passages_that_a_hub_holds_in_part(spark):
+    """Texts that quote a part of a passage, too short to be one, don't hide the passage from its other documents."""
+    rng = random.Random(21)
+    rows, want = [], set()
+    for g in range(24):
+        one = words(rng, 60, 10**6)
+        at = rng.randrange(0, 22)
+        ids = list(range(10 * g, 10 * g + 5))
+        for i in ids[:2]:
+            rows.append((i, " ".join([*words(rng, 25, 10**6), *one, *words(rng, 25, 10**6)])))
+        for i in ids[2:]:  # each may be the least of all by hash
+            rows.append((i, " ".join([*words(rng, 25, 10**6), *one[at : at + 39], *words(rng, 25, 10**6)])))
+        want.add((ids[0], ids[1]))
+    got = {tuple(sorted((r["doc_id"], r["other_doc_id"]))) for r in passage_chains.shared_passages(docs(spark, rows)).collect()}
+    assert got == want
+
+
 # -- Suffixes -------------------------------------------------------------------------------------------------------------
 
 
