@@ -232,6 +232,22 @@ def test_passages_that_a_hub_holds_in_part(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("size", "edits", "least"), [(40, 0, 1.0), (60, 3, 0.98), (60, 6, 0.98), (60, 9, 0.95), (60, 12, 0.85), (100, 20, 0.95)])
+def test_recall_of_passages(spark, size, edits, least):
+    """Of pairs with a passage at identity 1 to 0.8, by independent edits, nearly all are found."""
+    rng = random.Random(size + edits)
+    rows = []
+    for i in range(150):
+        one = words(rng, size, 10**9)
+        two = list(one)
+        for p in rng.sample(range(size), edits):
+            two[p] = f"c{rng.randrange(10**9)}"
+        rows += [(2 * i + j, " ".join([*words(rng, 60, 10**9), *text, *words(rng, 60, 10**9)])) for j, text in enumerate((one, two))]
+    out = passage_chains.shared_passages(docs(spark, rows)).collect()
+    assert all(r["doc_id"] // 2 == r["other_doc_id"] // 2 for r in out)
+    assert len({r["doc_id"] // 2 for r in out}) >= least * 150
+
+
 # -- Suffixes -------------------------------------------------------------------------------------------------------------
 
 
