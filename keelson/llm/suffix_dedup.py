@@ -36,7 +36,6 @@ LENGTH, SEED, GROUP = 400, 32, 64
 #: Longer texts are cut, for anchors, into overlapping parts of so many bytes; places in a part take PLACE_BITS bits.
 PART, PLACE_BITS = 1 << 22, 24
 SEPARATOR = 0xFF  # not a byte of UTF-8
-RANGE = 512  # a power of two, at least the number of places of an anchor in a string
 
 SEGMENTS = "d1 bigint, d2 bigint, anchor bigint, content bigint, start int, size int, place int"
 
@@ -176,6 +175,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(7), F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("d2"), "text")
 
 
+def places(length: int, seed: int) -> int:
+    """A power of two, at least the number of places of an anchor in a string."""
+    return 1 << (length - seed).bit_length()
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """d1, d2 (key of a document), start, size: spans covered by repeated strings; they may overlap."""
     keyed = _keyed(docs, id_col, text_col)
@@ -195,7 +199,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     text = keyed.select(F.col("d1").alias("t1"), F.col("d2").alias("t2"), "text").hint("merge")
     bytes_ = F.substring(F.col("text"), F.col("start") + 1, F.col("size"))
     rows = rows.join(text, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2")))
-    rows = rows.select("d1", "d2", "grp", "content", "start", "place", F.lit(0).alias("lo"), F.lit(RANGE).alias("hi"), bytes_.alias("data"), "members")
+    rows = rows.select("d1", "d2", "grp", "content", "start", "place", F.lit(0).alias("lo"), F.lit(places(length, seed)).alias("hi"), bytes_.alias("data"), "members")
     rows = materialize(rows.dropDuplicates(["grp", "content"]), "suffix-pieces")
     shards = []
     while True:

@@ -302,6 +302,17 @@ def test_removed(spark, monkeypatch, length, seed):
     assert got == Counter((i, *e) for (i, _), e in zip(rows, brute_removed([(t or "").encode() for _, t in rows], length), strict=True))
 
 
+def test_removed_long(spark, monkeypatch):
+    """Anchors may stand more than 512 places into a string."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    rng = random.Random(31)
+    passage = " ".join(words(rng, 500))
+    texts = [f"{' '.join(words(rng, 9))} {passage[c : c + 1100]} {' '.join(words(rng, 30))}" for c in range(0, 900, 45)]
+    out = suffix_dedup.remove_repeated(docs(spark, [*enumerate(texts)]), 900, 16).collect()
+    got = {r["doc_id"]: (r["n_bytes"] - len(r["kept"]), hashlib.sha256(r["kept"]).hexdigest()) for r in out}
+    assert got == {i: (e[1], e[3]) for i, e in enumerate(brute_removed([t.encode() for t in texts], 900))}
+
+
 def test_removed_empty(spark):
     assert suffix_dedup.digest(docs(spark, [])).count() == 0
     assert [tuple(r)[1:4] for r in suffix_dedup.digest(docs(spark, [(1, None)])).collect()] == [(0, 0, 0)]
