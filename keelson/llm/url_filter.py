@@ -83,7 +83,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         mass = materialize(step, "mass") if i % cut == 0 else step
         parts.append(mass)
     total = reduce(DataFrame.unionAll, parts).groupBy("host")
-    score = lambda good: F.round(F.coalesce(F.sum(F.when(good, F.col("v"))), F.lit(0.0)), 12)
+    # Rounded to 13 digits of its own, however small: scores get smaller as the graph grows, and a verdict must not depend on that.
+    score = lambda good: F.format_string("%.12e", F.coalesce(F.sum(F.when(good, F.col("v"))), F.lit(0.0))).cast("double")
     return total.agg(score(F.col("good")).alias("trust"), score(~F.col("good")).alias("distrust"))
 
 

@@ -136,6 +136,14 @@ def test_distrust_reaches_linking_hosts(spark):
     assert out[2]["distrust"] > 0 and out[3]["distrust"] == 0
 
 
+def test_small_scores_are_kept(spark):
+    """Distrust of a large graph, far below a seed's share, still counts."""
+    edges = spark.createDataFrame([("farm", "bad", 1), ("far", "farm", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("bad", 0.0, 1e-13)], "host string, trust double, distrust double")
+    got = {r["host"]: r["distrust"] for r in url_filter.propagate(edges, seeds).collect()}
+    assert isclose(got["farm"], 0.15 * 0.85 * 1e-13, rel_tol=1e-9) and isclose(got["far"], 0.15 * 0.85**2 * 1e-13, rel_tol=1e-9)
+
+
 def test_equal_rules_block(spark):
     out = url_filter.judge(pages(spark, (1, "http://a.b/c", None)), [Rule("allow", "a.b", "/c"), Rule("block", "a.b", "/c")]).first()
     assert out["verdict"] == "block"
