@@ -34,6 +34,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def width_for(spark: SparkSession, volume: int, most: int = 64 << 20) -> int:
+    """How many partitions to deal `volume` bytes to by a key: the shuffle partitions, or more if these would hold over `most`."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // most))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII rows take the fast path, for which `lower` does the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -1,39 +1,45 @@
 """Near-duplicates of documents by chosen-path set similarity join.
 
 A document is the set of its word shingles; texts with equal words are one class. Independent trees branch the classes: a
-node picks one or two of the minwise tokens (1 / similarity of them on average, so that a pair at the threshold is expected
-to stay together once), and its members go to the child named by their token. A small node is compared exhaustively by
-signature; a large one branches on. Pairs whose signatures look similar are confirmed on the full sets of the whole texts,
-and confirmed links make components.
+node picks one or two of the minwise tokens, and its members go to the child named by their token. A small node is compared
+exhaustively; a large one is first compared in parts, and branches on unless that leaves few members to compare.
 
-Skew: each node first links its members with its smallest one only, so large groups of near copies become components at
-linear cost; a node is then worked on only if it still holds several components, and only pairs across them are compared: a
-node is small if few members are outside its largest component, and each of those is compared with all, in blocks. A passage
-that many documents share makes large nodes, whose members part as deeper tokens fall outside it. Nodes that are not small
-at the greatest depth are compared in full, a block of members against each other block.
+Two passes, both by `_descend`. The first compares signatures, and links classes that may be similar enough: its components
+are families. All classes of a small family then meet once, with their texts, and are compared on full sets. Large families
+descend the trees again, compared on full sets from the start. A comparison returns a spanning forest of what it has linked,
+never all pairs, so that all results are linear in the members of nodes.
+
+Skew: no group holds more than about 2 * SMALL classes. A large node is dealt into parts, each compared exhaustively, so
+that most of a family of near copies become one component wherever the node is cut; what is outside of the node's largest
+component is then compared with every part, if it is small, or else all branch on. A passage that many documents share makes
+large nodes, whose members part as deeper tokens fall outside it. Pairs of one component are not compared again.
+
+Recall: a pair at the threshold of 0.8 stays together for 1.1 picks of a node on average, so it is not lost with depth: it
+is missed by all 12 picks at the roots with a chance of 0.2 ** 12 where these are small, and of 0.01 however deep they are.
 
 Defined cases: null or wordless text has no set, and is linked with nothing; texts with fewer words than a shingle have one
-shingle, all their words; repeated rows are one class; a null id is larger than any other; an empty table gives an empty
-result; other columns are not read.
+shingle, all their words; very long texts are hashed in whole; repeated rows are one class; a null id is larger than any
+other, and of equal ids (ties) the first row counts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import attach, materialize, with_key
-from ._text import GOLD, U64, Block, blocks, mix, prefix_hashes, shingles, span_hashes
+from ._common import attach, materialize, width_for, with_key
+from ._text import GOLD, U64, Block, as_bytes, blocks, mix, prefix_hashes, shingles, span_hashes
 from .components import components
 
-#: Minwise tokens of a signature; independent trees; most members outside the largest component of a
-#: node compared exhaustively; greatest depth.
-TOKENS, TREES, SMALL, DEPTH = 128, 8, 40, 16
+#: Minwise tokens of a signature; independent trees; most members of a node, part or family that is compared exhaustively,
+#: and most shingles of those that are compared on full sets.
+TOKENS, TREES, SMALL, HEAVY = 128, 8, 1024, 1 << 22
 #: A pair whose signatures agree in less than the threshold by so many standard deviations is not confirmed.
 DEVIATIONS = 4.0
 SALTS = mix((np.arange(1, TOKENS + 1).astype(U64)) * GOLD)
@@ -82,10 +88,10 @@ def minwise(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def root_picks(trees: int) -> list[tuple[int, int]]:
-    """(tree, token) at the roots: two tokens in every fourth tree, else one; all different."""
+    """(tree, token) at the roots: two tokens in every other tree, else one; all different."""
     out = []
     for tree in range(trees):
-        for _ in range(2 if tree % 4 == 0 else 1):
+        for _ in range(2 if tree % 2 == 0 else 1):
             out.append((tree, (len(out) * 37 + 11) % TOKENS))
     return out
 
@@ -95,7 +101,7 @@ SETS = "id {id}, kid string, kh bigint, n_shingles bigint, class_key binary, roo
 
 def describe(docs: DataFrame, k: int, trees: int, id_col: str, text_col: str) -> DataFrame:
     """A row per document: its key, size of its set, key of its class, roots (nodes below the roots of the trees), and
-    signature (16 bits of each minwise token)."""
+    signature (8 bits of each minwise token)."""
     rows = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").select("id", F.col("_kid").alias("kid"), F.col("_kh").alias("kh"), "text")
     picks = root_picks(trees)
     tree_salt = mix(np.array([(t + 1) * 1000 + p for t, p in picks]).astype(U64))
@@ -113,7 +119,7 @@ def describe(docs: DataFrame, k: int, trees: int, id_col: str, text_col: str) ->
                 if len(full):
                     minima = minwise(hashes, before[np.append(full, block.n)])
                     nodes = mix(minima[:, tokens] ^ tree_salt).view(np.int64)
-                    bits = np.ascontiguousarray((minima & U64(0xFFFF)).astype("<u2"))
+                    bits = (minima & U64(0xFF)).astype(np.uint8)
                     pairs = np.ascontiguousarray(whole[:, full].T)
                     for row, d in enumerate(full):
                         keys[d], roots[d], signatures[d] = pairs[row].tobytes(), nodes[row], bits[row].tobytes()
@@ -123,164 +129,202 @@ def describe(docs: DataFrame, k: int, trees: int, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, SETS.format(id=rows.schema["id"].dataType.simpleString()))
 
 
-def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
-    bits = lambda x: np.frombuffer(b"".join(x.to_pylist()), "<u2").reshape(-1, TOKENS)
-    return (bits(a) == bits(b)).mean(axis=1)
-
-
-def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Of pairs a < b, those whose signatures agree enough."""
-    own = reps.select("rep", "signature")
-    both = pairs.join(own.select(F.col("rep").alias("a"), F.col("signature").alias("sa")).hint("merge"), "a").join(own.select(F.col("rep").alias("b"), F.col("signature").alias("sb")).hint("merge"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keep = pa.array(_agreement(batch.column(2), batch.column(3)) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs a < b, those whose full sets are similar enough. texts: rep, text."""
-    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+class _Forest:
+    """Links found so far among the members of one group; members of one component count as linked."""
+
+    def __init__(self, component: np.ndarray, signature: np.ndarray, size: np.ndarray, least: float, percent: int):
+        self.label = np.unique(component, return_inverse=True)[1]
+        self.signature, self.size, self.least, self.percent = signature, size, least * TOKENS, percent
+        self.links: list[tuple[int, int]] = []
+
+    def grow(self, similar: Callable[[int, int], bool] | None) -> list[tuple[int, int]]:
+        """Links between members of different components, without a cycle. similar: the last word on a likely pair."""
+        for i in range(1, len(self.label)):
+            other = np.flatnonzero(self.label[:i] != self.label[i])
+            if not len(other):
+                continue
+            smaller, larger = np.minimum(self.size[other], self.size[i]), np.maximum(self.size[other], self.size[i])
+            other = other[100 * smaller >= self.percent * larger]
+            agree = np.count_nonzero(self.signature[other] == self.signature[i], axis=1)
+            likely = agree >= self.least
+            for j in other[likely][np.argsort(-agree[likely], kind="stable")]:
+                if self.label[j] != self.label[i] and (similar is None or similar(int(j), i)):
+                    self.links.append((int(j), i))
+                    self.label[self.label == self.label[j]] = self.label[i]
+        return self.links
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (the first column, in order), with the index at which each group starts, and the end."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest and rest[-1].column(0)[-1].as_py() == batch.column(0)[-1].as_py() and len(rest) < 64:
+            rest.append(batch)
+            continue
+        table = pa.Table.from_batches([*rest, batch]).combine_chunks()
+        group = table.column(0).to_numpy()
+        last = int(np.searchsorted(group, group[-1]))
+        if last:
+            yield table.slice(0, last), np.concatenate([[0], np.flatnonzero(np.diff(group[:last])) + 1, [last]])
+        rest = table.slice(last).to_batches()
+    if rest:
+        table = pa.Table.from_batches(rest).combine_chunks()
+        group = table.column(0).to_numpy()
+        yield table, np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+
+
+def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    out = []
+    for block in blocks(texts, fold=True):
+        hashes, before, _, _ = document_shingles(block, k)
+        out += [np.unique(hashes[before[i] : before[i + 1]]) for i in range(block.n)]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                sides = []
-                for column in (2, 3):
-                    sets = []
-                    for block in blocks(part.column(column), fold=True):
-                        hashes, before, _, _ = document_shingles(block, k)
-                        sets += [np.unique(hashes[before[i] : before[i + 1]]) for i in range(block.n)]
-                    sides.append(sets)
-                for x, y in zip(*sides, strict=True):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
-            keep = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
-
-
-def _texts(docs: DataFrame, reps: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep, text of the given classes."""
-    wanted = materialize(ids.join(reps.select("rep", "kid", "kh").hint("merge"), "rep"), "near-wanted")
-    keyed = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    found = keyed.join(wanted, (keyed["_kid"] == wanted["kid"]) & (keyed["_kh"] == wanted["kh"])).select("rep", "text")
-    return materialize(found, "near-texts")
 
+def _compare(rows: DataFrame, width: int, k: int, percent: int) -> DataFrame:
+    """a, b: a spanning forest of the links within each group, between members of different components.
 
-def _compared(blocks_: DataFrame, least: float) -> DataFrame:
-    """Pairs across components whose signatures agree enough, between `members` and `minors` (arrays of (rep, component,
-    signature)) of each row."""
+    rows: grp, rep, component, n_shingles, signature, and, if links are to be confirmed on full sets, text.
+    """
+    threshold = percent / 100
+    least = threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def arrays(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            bits = np.frombuffer(b"".join(m["signature"] for m in found), "<u2").reshape(-1, TOKENS)
-            return np.array([m["rep"] for m in found]), np.array([m["component"] for m in found]), bits
-
-        for batch in batches:
+        for table, starts in _whole_groups(batches):
+            rep, component, size = (table.column(i).to_numpy() for i in (1, 2, 3))
+            signature = as_bytes(table.column(4))[0].reshape(-1, TOKENS)
             a, b = [], []
-            for members, minors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rep, comp, bits = arrays(members)
-                for r, c, own in zip(*arrays(minors), strict=True):
-                    j = np.flatnonzero(((bits == own).mean(axis=1) >= least) & (comp != c))
-                    a.append(np.minimum(rep[j], r))
-                    b.append(np.maximum(rep[j], r))
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                if e - s == 1:
+                    continue
+                similar, sets = None, []
+                if table.num_columns > 5:
+
+                    def similar(i: int, j: int, s: int = s, e: int = e, sets: list = sets) -> bool:
+                        if not sets:
+                            sets += _sets(table.column(5).slice(s, e - s), k)
+                        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        return 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared)
+
+                for i, j in _Forest(component[s:e], signature[s:e], size[s:e], least, percent).grow(similar):
+                    a.append(rep[s + i])
+                    b.append(rep[s + j])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
-    return blocks_.select("members", "minors").mapInArrow(run, "a bigint, b bigint").distinct()
+    names = [c for c in ("grp", "rep", "component", "n_shingles", "signature", "text") if c in rows.columns]
+    return rows.select(*names).repartition(width, "grp").sortWithinPartitions("grp", "rep").mapInArrow(run, "a bigint, b bigint")
 
 
-MEMBER = ("rep", "component", "signature")
+def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with their component by all links so far."""
+    joined = components(links).withColumnRenamed("id", "rep")
+    return members.drop("component").join(joined.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _dealt(own: DataFrame) -> DataFrame:
-    """The members of each node in blocks of about SMALL."""
-    at = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / SMALL))
-    return own.groupBy("node", at.alias("at")).agg(F.collect_list(F.struct(*MEMBER)).alias("members"))
+def _children(members: DataFrame) -> DataFrame:
+    """Members of large nodes in the nodes below, of which a node has one or, three times of eight, two."""
 
+    def below(which: int) -> Column:
+        token = F.pmod(F.xxhash64("node", F.lit(which)), F.lit(TOKENS)).cast("int")
+        return F.xxhash64("node", token, F.substring(F.col("signature"), token + 1, F.lit(1)))
 
-def _exhaustive(own: DataFrame, least: float) -> DataFrame:
-    """Nodes in which few members are outside the largest component: each of those against all members."""
-    minors = own.where("component <> major").groupBy("node").agg(F.collect_list(F.struct(*MEMBER)).alias("minors"))
-    return _compared(_dealt(own).join(minors.hint("merge"), "node"), least)
+    two = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(8)) < 3
+    return members.withColumn("node", F.explode(F.when(two, F.array_distinct(F.array(below(0), below(1)))).otherwise(F.array(below(0)))))
 
 
-def _blockwise(own: DataFrame, least: float) -> DataFrame:
-    """Nodes at the greatest depth, in full: each block of members against each block."""
-    blocks_ = _dealt(own)
-    return _compared(blocks_.join(blocks_.select("node", F.col("members").alias("minors")).hint("merge"), "node"), least)
+def _descend(members: DataFrame, own: DataFrame, links: DataFrame | None, k: int, percent: int, label: str) -> DataFrame:
+    """All links (a, b) that are found at the nodes of `members` (node, rep) and below, and `links`, those known before.
 
-
-def _children(big: DataFrame) -> DataFrame:
-    """Members of large nodes in the nodes below: one or two picks at a node, repeated where it is far too large."""
-
-    def below(node: Column, which: int) -> Column:
-        token = F.pmod(F.xxhash64(node, F.lit(which)), F.lit(TOKENS)).cast("int")
-        return F.xxhash64(node, token, F.substring(F.col("signature"), token * 2 + 1, F.lit(2)))
-
-    for least in (0, 4 * SMALL, 16 * SMALL):
-        node = F.col("node")
-        two = (F.pmod(F.xxhash64(node, F.lit("two")), F.lit(4)) == 0) & (F.col("n") > least)
-        one = F.when(F.col("n") > least, below(node, 0)).otherwise(node)
-        big = big.withColumn("node", F.explode(F.when(two, F.array_distinct(F.array(one, below(node, 1)))).otherwise(F.array(one))))
-    return big.select("node", "rep", "component", "signature")
+    own: rep, n_shingles, signature, and text if links are to be confirmed on full sets; a row per class.
+    """
+    spark, exact = members.sparkSession, "text" in own.columns
+    each = own.select("rep", "n_shingles", "signature")
+    per_row, per_shingle = (240, 8) if exact else (160, 0)
+    members = members.withColumn("component", F.col("rep"))
+    if links is not None:
+        members = _with_component(members, links)
+    members = members.join(each.select("rep", "n_shingles").hint("merge"), "rep")
+    found = [] if links is None else [links]
+
+    def compared(groups: DataFrame, volume: int) -> DataFrame:
+        rows = groups.select("grp", "rep", "component").join(own.hint("merge"), "rep")
+        return materialize(_compare(rows, width_for(spark, volume), k, percent), f"near-links-{label}")
+
+    while True:
+        members = materialize(members, f"near-members-{label}")
+        pieces = F.ceil(F.greatest(F.col("n") / SMALL, F.col("weight") / HEAVY if exact else F.lit(0.0)))
+        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        sizes = sizes.where("n > 1 AND lo < hi").select("node", "n", "weight", F.when(F.col("n") == 2, F.lit(1)).otherwise(pieces).cast("long").alias("pieces"))
+        sizes = materialize(sizes, f"near-nodes-{label}")
+        rows, weight, most = sizes.agg(F.sum("n"), F.sum("weight"), F.max("pieces")).first()
+        if not rows:
+            break
+        part = F.pmod(F.xxhash64("rep", "node"), F.col("pieces"))
+        dealt = members.join(sizes.drop("n", "weight").hint("merge"), "node").withColumn("grp", F.when(F.col("pieces") == 1, F.col("node")).otherwise(F.xxhash64("node", part)))
+        dealt = materialize(dealt, f"near-dealt-{label}")
+        found.append(compared(dealt, rows * per_row + weight * per_shingle))
+        if most == 1:
+            break
+        # Large nodes: what is outside of the largest component.
+        large = materialize(_with_component(dealt.where("pieces > 1"), reduce(DataFrame.union, found)), f"near-large-{label}")
+        kinds = large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).groupBy("node")
+        kinds = kinds.agg(F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        few = (F.col("n") - F.col("top.n") <= SMALL) & (F.lit(not exact) | (F.col("weight") - F.col("top.weight") <= HEAVY))
+        kinds = materialize(kinds.select("node", F.col("top.component").alias("major"), few.alias("few")), f"near-kinds-{label}")
+        large = materialize(large.join(kinds.hint("merge"), "node"), f"near-mixed-{label}")
+        minors = large.where("few AND component <> major")
+        everywhere = minors.withColumn("grp", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda part: F.xxhash64("node", part))))
+        groups = large.where("few AND component = major").select("grp", "rep", "component").union(everywhere.select("grp", "rep", "component"))
+        found.append(compared(groups, rows * per_row + weight * per_shingle))
+        members = _children(large.where("NOT few").select("node", "rep", "component", "n_shingles").join(each.select("rep", "signature").hint("merge"), "rep")).drop("signature")
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a bigint, b bigint")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The given classes (rep, kid, kh, n_shingles, signature) with a text of each."""
+    keyed = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    found = keyed.join(wanted.hint("merge"), (keyed["_kid"] == wanted["kid"]) & (keyed["_kh"] == wanted["kh"]))
+    # Repeated rows have a class's key each.
+    return found.select("rep", "n_shingles", "signature", "text").groupBy("rep").agg(*[F.first(c).alias(c) for c in ("n_shingles", "signature", "text")])
 
 
 def links(docs: DataFrame, described: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(classes: class_key, rep, id; links between classes: a < b, by rep). described: with `row`."""
-    threshold = percent / 100
-    least = threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / TOKENS)
+    spark = docs.sparkSession
     full = described.where("class_key IS NOT NULL")
     # The class is named by its first row in order of id, null last.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("m")
     classes = materialize(full.groupBy("class_key").agg(first).select("class_key", F.col("m.row").alias("rep"), F.col("m.id").alias("id")), "near-classes")
-    reps = materialize(full.join(classes.select("rep"), F.col("row") == F.col("rep")).select("rep", "kid", "kh", "roots", "signature"), "near-reps")
+    reps = materialize(full.join(classes.select("rep").hint("merge"), F.col("row") == F.col("rep")).select("rep", "kid", "kh", "n_shingles", "roots", "signature"), "near-reps")
 
+    # Families: what signatures link.
     rows = reps.select("rep", F.explode("roots").alias("node"))
-    shared = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo")).where("n > 1"), "near-nodes")
-    members = materialize(rows.join(shared.hint("merge"), "node"), "near-members")
-    stars = members.where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = materialize(_likely(stars, reps, least), "near-stars")
-    texts = _texts(docs, reps, stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct(), id_col, text_col)
-    found = materialize(_confirm(stars, texts, k, percent), "near-links")
-    joined = components(found)
-
-    def mixed(part: DataFrame) -> DataFrame:
-        """Members of nodes that hold several components, with the node's size, its largest component, and how many members
-        are outside of that."""
-        sizes = part.groupBy("node", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("node")
-        sizes = sizes.agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        sizes = materialize(sizes.select("node", "n", F.col("top.component").alias("major"), (F.col("n") - F.col("top.k")).alias("outside")), "near-nodes")
-        return part.join(sizes.hint("merge"), "node")
-
-    own = members.select("node", "rep").join(joined.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    own = mixed(materialize(own, "near-members")).join(reps.select("rep", "signature").hint("merge"), "rep")
-    pairs = []
-    for depth in range(DEPTH):
-        own = materialize(own, "near-level")
-        pairs.append(materialize(_exhaustive(own.where(F.col("outside") <= SMALL), least), "near-pairs"))
-        big = own.where(F.col("outside") > SMALL)
-        if big.isEmpty():
-            break
-        if depth == DEPTH - 1:
-            pairs.append(materialize(_blockwise(big, least), "near-pairs"))
-            break
-        own = mixed(materialize(_children(big), "near-children"))
-    more = pairs[0]
-    for p in pairs[1:]:
-        more = more.union(p)
-    more = materialize(more.distinct().join(stars.hint("merge"), ["a", "b"], "left_anti"), "near-more")
-    ids = more.select(F.col("a").alias("rep")).union(more.select("b")).distinct()
-    new = _texts(docs, reps, ids.join(texts.select("rep").hint("merge"), "rep", "left_anti"), id_col, text_col)
-    found = found.union(_confirm(more, texts.union(new), k, percent))
+    shared = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "near-shared")
+    members = materialize(rows.join(shared.hint("merge"), "node"), "near-roots")
+    likely = _descend(members, reps.select("rep", "n_shingles", "signature"), None, k, percent, "likely")
+    of = components(likely)
+    of = materialize(of.union(of.select(F.col("component").alias("id"), "component").distinct()).withColumnsRenamed({"id": "rep", "component": "family"}), "near-families")
+    owned = materialize(of.join(reps.hint("merge"), "rep"), "near-owned")
+    sizes = owned.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+    sizes = materialize(sizes.withColumn("small", F.expr(f"n = 2 OR (n <= {SMALL} AND weight <= {HEAVY})")), "near-sizes")
+    texts = materialize(_texts(docs, owned.select("rep", "kid", "kh", "n_shingles", "signature"), id_col, text_col), "near-texts")
+    rows, weight, large = sizes.agg(F.sum("n"), F.sum("weight"), F.count_if(~F.col("small"))).first()
+
+    # Small families meet; large ones descend on full sets.
+    small = of.join(sizes.where("small").hint("merge"), "family").select(F.col("family").alias("grp"), "rep", F.col("rep").alias("component")).join(texts.hint("merge"), "rep")
+    found = materialize(_compare(small, width_for(spark, (rows or 0) * 240 + (weight or 0) * 8), k, percent), "near-links")
+    if large:
+        inside = of.join(sizes.where("NOT small").select("family").hint("merge"), "family").select("rep").join(owned.select("rep", "roots").hint("merge"), "rep")
+        inside = materialize(inside, "near-inside")
+        own = materialize(inside.select("rep").join(texts.hint("merge"), "rep"), "near-own")
+        # One tree first: it leaves few components, and most nodes of the others in one of them.
+        first_tree, others = F.slice("roots", 1, 2), F.slice("roots", 3, 2 * TREES)
+        more = _descend(inside.select("rep", F.explode(first_tree).alias("node")), own, None, k, percent, "first")
+        more = _descend(inside.select("rep", F.explode(others).alias("node")), own, more, k, percent, "exact")
+        found = found.union(more)
     return classes, found
 
 

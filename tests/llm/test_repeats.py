@@ -102,15 +102,43 @@ def test_near_duplicates(spark, near_rows, monkeypatch):
     assert set(stays.values()) == {1} and len(stays) == len({t for n, t in of.items() if sets[n]})
 
 
-def test_near_blockwise_fallback(spark, near_rows, monkeypatch):
-    """At the greatest depth, large nodes are compared block by block."""
+def test_near_large_families(spark, near_rows, monkeypatch):
+    """Families too large for one group, and too heavy ones, give the same links."""
     monkeypatch.setattr(near_dedup, "SMALL", 8)
-    monkeypatch.setattr(near_dedup, "DEPTH", 1)
     few = near_rows[-140:]
-    out = near_dedup.near_duplicates(docs(spark, few), k=4).collect()
     sets = shingle_sets(few, 4)
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    assert len({r["component_id"] for r in out if r["n_shingles"]}) == len({t for n, t in union_find(links, sets).items() if sets[n]})
+    want = len({t for n, t in union_find(links, sets).items() if sets[n]})
+    for heavy in (1 << 22, 500):
+        monkeypatch.setattr(near_dedup, "HEAVY", heavy)
+        out = near_dedup.near_duplicates(docs(spark, few), k=4).collect()
+        assert len({r["component_id"] for r in out if r["n_shingles"]}) == want
+
+
+def test_near_recall_in_deep_nodes(spark, monkeypatch):
+    """Pairs just above the threshold, among many texts of one template that are below it: nodes branch many times."""
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    rng = random.Random(3)
+    template, rows = words(rng, 70, 10**6), []
+    for i in range(300):
+        one = template + words(rng, 50, 10**6)  # any two share a good third of their shingles
+        two = list(one)
+        for p in rng.sample(range(70, 120), 3):
+            two[p] = f"c{rng.randrange(10**9)}"
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    sets = shingle_sets(rows, 4)
+    planted = [i for i in range(300) if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 80 * len(sets[2 * i] | sets[2 * i + 1])]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows), k=4).collect()}
+    assert len(planted) > 200 and sum(got[2 * i + 1] == 2 * i for i in planted) >= 0.97 * len(planted)
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
+def test_near_long_texts_and_ties(spark):
+    rng = random.Random(5)
+    long = words(rng, 60_000, 10**6)
+    rows = [(9, " ".join(long)), (4, " ".join(changed(rng, long, 900))), (4, " ".join(changed(rng, long, 900))), (7, "x " * 50_000), (8, "x " * 40_000)]
+    got = Counter((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows), k=4).collect())
+    assert got == {(9, 4): 1, (4, 4): 2, (7, 7): 1, (8, 7): 1}
 
 
 def test_near_deduplicated(spark):
