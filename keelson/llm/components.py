@@ -14,13 +14,18 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     to = edges.select("u", "v")
     if both:
         to = to.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = materialize(to.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "stars")
+    least = to.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
     linked = to.join(least.hint("merge"), "u")
     if both:
-        out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+        return linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # A vertex's link to the least comes with its edge to that.
+    return linked.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each vertex has one edge down or several up, not both: then all edges lead to the smallest of a component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,10 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
     now = materialize(edges.select(high.alias("u"), low.alias("v")).where("u > v").distinct(), "edges")
-    mark = None
-    while True:
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new[0] == 0 or new == mark:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        mark = new
-        now = materialize(_stars(_stars(now, True), False), "edges")
+    while not _settled(now):
+        now = materialize(_stars(materialize(_stars(now, True), "edges"), False), "edges")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

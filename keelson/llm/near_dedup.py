@@ -2,17 +2,18 @@
 
 A document is the set of its word shingles; texts with equal words are one class. Independent trees branch the classes: a
 node picks one or two of the minwise tokens, and its members go to the child named by their token. A small node is compared
-exhaustively; a large one is first compared in parts, and branches on unless that leaves few members to compare.
+exhaustively; a large one branches on.
 
 Two passes, both by `_descend`. The first compares signatures, and links classes that may be similar enough: its components
 are families. All classes of a small family then meet once, with their texts, and are compared on full sets. Large families
-descend the trees again, compared on full sets from the start. A comparison returns a spanning forest of what it has linked,
-never all pairs, so that all results are linear in the members of nodes.
+descend the trees again, compared on full sets from the start. A comparison returns stars of what it has linked, never all
+pairs, so that all results are linear in the members of nodes.
 
-Skew: no group holds more than about 2 * SMALL classes. A large node is dealt into parts, each compared exhaustively, so
-that most of a family of near copies become one component wherever the node is cut; what is outside of the node's largest
-component is then compared with every part, if it is small, or else all branch on. A passage that many documents share makes
-large nodes, whose members part as deeper tokens fall outside it. Pairs of one component are not compared again.
+Skew: no group holds more than about 2 * SMALL classes. A passage that many documents share makes large nodes, whose members
+part as deeper tokens fall outside it. A family of near copies parts slowly, so at every second level (of full sets: at each) large nodes are dealt
+into parts, each compared exhaustively, and most of such a family become one component wherever the node is cut; what is
+outside of the node's largest component is then compared with every part, if it is small, or else all branch on. Pairs of one
+component are not compared again.
 
 Recall: a pair at the threshold of 0.8 stays together for 1.1 picks of a node on average, so it is not lost with depth: it
 is missed by all 12 picks at the roots with a chance of 0.2 ** 12 where these are small, and of 0.01 however deep they are.
@@ -38,8 +39,8 @@ from ._text import GOLD, U64, Block, as_bytes, blocks, mix, prefix_hashes, shing
 from .components import components
 
 #: Minwise tokens of a signature; independent trees; most members of a node, part or family that is compared exhaustively,
-#: and most shingles of those that are compared on full sets.
-TOKENS, TREES, SMALL, HEAVY = 128, 8, 1024, 1 << 22
+#: and most shingles of those that are compared on full sets; of how many levels one compares large nodes in parts.
+TOKENS, TREES, SMALL, HEAVY, CONTRACT = 128, 8, 1024, 1 << 22, 2
 #: A pair whose signatures agree in less than the threshold by so many standard deviations is not confirmed.
 DEVIATIONS = 4.0
 SALTS = mix((np.arange(1, TOKENS + 1).astype(U64)) * GOLD)
@@ -129,18 +130,19 @@ def describe(docs: DataFrame, k: int, trees: int, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, SETS.format(id=rows.schema["id"].dataType.simpleString()))
 
 
-class _Forest:
-    """Links found so far among the members of one group; members of one component count as linked."""
+class _Merger:
+    """Components among the members of one group: links found so far count, and members of one known component are linked."""
 
     def __init__(self, component: np.ndarray, signature: np.ndarray, size: np.ndarray, least: float, percent: int):
-        self.label = np.unique(component, return_inverse=True)[1]
+        self.component, self.label = np.unique(component, return_inverse=True)
         self.signature, self.size, self.least, self.percent = signature, size, least * TOKENS, percent
-        self.links: list[tuple[int, int]] = []
+        self.top = np.arange(len(self.component))  # of known components
 
-    def grow(self, similar: Callable[[int, int], bool] | None) -> list[tuple[int, int]]:
-        """Links between members of different components, without a cycle. similar: the last word on a likely pair."""
-        for i in range(1, len(self.label)):
-            other = np.flatnonzero(self.label[:i] != self.label[i])
+    def merge(self, similar: Callable[[int, int], bool] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Known components that links unite: the smallest of all, and each other. similar: the last word on a likely pair."""
+        own = self.label.copy()
+        for i in range(1, len(own)):
+            other = np.flatnonzero(own[:i] != own[i])
             if not len(other):
                 continue
             smaller, larger = np.minimum(self.size[other], self.size[i]), np.maximum(self.size[other], self.size[i])
@@ -148,10 +150,12 @@ class _Forest:
             agree = np.count_nonzero(self.signature[other] == self.signature[i], axis=1)
             likely = agree >= self.least
             for j in other[likely][np.argsort(-agree[likely], kind="stable")]:
-                if self.label[j] != self.label[i] and (similar is None or similar(int(j), i)):
-                    self.links.append((int(j), i))
-                    self.label[self.label == self.label[j]] = self.label[i]
-        return self.links
+                if own[j] != own[i] and (similar is None or similar(int(j), i)):
+                    low, high = sorted((own[i], own[j]))
+                    own[own == high] = low
+                    self.top[self.top == high] = low
+        other = np.flatnonzero(self.top != np.arange(len(self.top)))
+        return self.component[self.top[other]], self.component[other]
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -184,7 +188,7 @@ def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def _compare(rows: DataFrame, width: int, k: int, percent: int) -> DataFrame:
-    """a, b: a spanning forest of the links within each group, between members of different components.
+    """a, b: what the links within each group unite, as stars of the members' components: the smallest of them and another.
 
     rows: grp, rep, component, n_shingles, signature, and, if links are to be confirmed on full sets, text.
     """
@@ -193,7 +197,7 @@ def _compare(rows: DataFrame, width: int, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_groups(batches):
-            rep, component, size = (table.column(i).to_numpy() for i in (1, 2, 3))
+            component, size = table.column(2).to_numpy(), table.column(3).to_numpy()
             signature = as_bytes(table.column(4))[0].reshape(-1, TOKENS)
             a, b = [], []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
@@ -208,11 +212,11 @@ def _compare(rows: DataFrame, width: int, k: int, percent: int) -> DataFrame:
                         shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                         return 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared)
 
-                for i, j in _Forest(component[s:e], signature[s:e], size[s:e], least, percent).grow(similar):
-                    a.append(rep[s + i])
-                    b.append(rep[s + j])
+                low, high = _Merger(component[s:e], signature[s:e], size[s:e], least, percent).merge(similar)
+                a.append(low)
+                b.append(high)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     names = [c for c in ("grp", "rep", "component", "n_shingles", "signature", "text") if c in rows.columns]
     return rows.select(*names).repartition(width, "grp").sortWithinPartitions("grp", "rep").mapInArrow(run, "a bigint, b bigint")
@@ -236,22 +240,18 @@ def _children(members: DataFrame) -> DataFrame:
 
 
 def _descend(members: DataFrame, own: DataFrame, links: DataFrame | None, k: int, percent: int, label: str) -> DataFrame:
-    """All links (a, b) that are found at the nodes of `members` (node, rep) and below, and `links`, those known before.
+    """All links (a, b) that are found at the nodes of `members` (node, rep, n_shingles) and below, and `links`, those known.
 
     own: rep, n_shingles, signature, and text if links are to be confirmed on full sets; a row per class.
     """
     spark, exact = members.sparkSession, "text" in own.columns
-    each = own.select("rep", "n_shingles", "signature")
     per_row, per_shingle = (240, 8) if exact else (160, 0)
-    members = members.withColumn("component", F.col("rep"))
-    if links is not None:
-        members = _with_component(members, links)
-    members = members.join(each.select("rep", "n_shingles").hint("merge"), "rep")
-    found = [] if links is None else [links]
+    members = _with_component(members, links) if links is not None else members.withColumn("component", F.col("rep"))
+    found, level = [] if links is None else [links], 0
 
-    def compared(groups: DataFrame, volume: int) -> DataFrame:
-        rows = groups.select("grp", "rep", "component").join(own.hint("merge"), "rep")
-        return materialize(_compare(rows, width_for(spark, volume), k, percent), f"near-links-{label}")
+    def compared(groups: DataFrame, rows: int, weight: int) -> DataFrame:
+        each = groups.select("grp", "rep", "component").join(own.hint("merge"), "rep")
+        return materialize(_compare(each, width_for(spark, rows * per_row + weight * per_shingle), k, percent), f"near-links-{label}")
 
     while True:
         members = materialize(members, f"near-members-{label}")
@@ -262,24 +262,31 @@ def _descend(members: DataFrame, own: DataFrame, links: DataFrame | None, k: int
         rows, weight, most = sizes.agg(F.sum("n"), F.sum("weight"), F.max("pieces")).first()
         if not rows:
             break
-        part = F.pmod(F.xxhash64("rep", "node"), F.col("pieces"))
-        dealt = members.join(sizes.drop("n", "weight").hint("merge"), "node").withColumn("grp", F.when(F.col("pieces") == 1, F.col("node")).otherwise(F.xxhash64("node", part)))
+        dealt = members.join(sizes.select("node", "pieces").hint("merge"), "node")
+        dealt = dealt.withColumn("grp", F.when(F.col("pieces") == 1, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.col("pieces")))))
         dealt = materialize(dealt, f"near-dealt-{label}")
-        found.append(compared(dealt, rows * per_row + weight * per_shingle))
-        if most == 1:
-            break
-        # Large nodes: what is outside of the largest component.
-        large = materialize(_with_component(dealt.where("pieces > 1"), reduce(DataFrame.union, found)), f"near-large-{label}")
-        kinds = large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).groupBy("node")
-        kinds = kinds.agg(F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        few = (F.col("n") - F.col("top.n") <= SMALL) & (F.lit(not exact) | (F.col("weight") - F.col("top.weight") <= HEAVY))
-        kinds = materialize(kinds.select("node", F.col("top.component").alias("major"), few.alias("few")), f"near-kinds-{label}")
-        large = materialize(large.join(kinds.hint("merge"), "node"), f"near-mixed-{label}")
-        minors = large.where("few AND component <> major")
-        everywhere = minors.withColumn("grp", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda part: F.xxhash64("node", part))))
-        groups = large.where("few AND component = major").select("grp", "rep", "component").union(everywhere.select("grp", "rep", "component"))
-        found.append(compared(groups, rows * per_row + weight * per_shingle))
-        members = _children(large.where("NOT few").select("node", "rep", "component", "n_shingles").join(each.select("rep", "signature").hint("merge"), "rep")).drop("signature")
+        level += 1
+        large = dealt.where("pieces > 1")
+        if most > 1 and not exact and level % CONTRACT:
+            found.append(compared(dealt.where("pieces = 1"), rows, weight))
+        else:
+            found.append(compared(dealt, rows, weight))
+            if most == 1:
+                break
+            # What is outside of the largest component of a large node.
+            large = materialize(_with_component(large, reduce(DataFrame.union, found)), f"near-large-{label}")
+            kinds = large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).groupBy("node")
+            kinds = kinds.agg(F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+            few = (F.col("n") - F.col("top.n") <= SMALL) & (F.lit(not exact) | (F.col("weight") - F.col("top.weight") <= HEAVY))
+            kinds = materialize(kinds.select("node", F.col("top.component").alias("major"), few.alias("few")), f"near-kinds-{label}")
+            large = materialize(large.join(kinds.hint("merge"), "node"), f"near-mixed-{label}")
+            parts = F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
+            minors = large.where("few AND component <> major").withColumn("grp", F.explode(F.transform(parts, lambda part: F.xxhash64("node", part))))
+            groups = large.where("few AND component = major").select("grp", "rep", "component").union(minors.select("grp", "rep", "component"))
+            found.append(compared(groups, rows, weight))
+            large = large.where("NOT few")
+        large = large.select("node", "rep", "component", "n_shingles").join(own.select("rep", "signature").hint("merge"), "rep")
+        members = _children(large).drop("signature")
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a bigint, b bigint")
 
 
@@ -301,10 +308,8 @@ def links(docs: DataFrame, described: DataFrame, k: int, percent: int, id_col: s
     reps = materialize(full.join(classes.select("rep").hint("merge"), F.col("row") == F.col("rep")).select("rep", "kid", "kh", "n_shingles", "roots", "signature"), "near-reps")
 
     # Families: what signatures link.
-    rows = reps.select("rep", F.explode("roots").alias("node"))
-    shared = materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node"), "near-shared")
-    members = materialize(rows.join(shared.hint("merge"), "node"), "near-roots")
-    likely = _descend(members, reps.select("rep", "n_shingles", "signature"), None, k, percent, "likely")
+    rows = reps.select("rep", "n_shingles", F.explode("roots").alias("node"))
+    likely = _descend(rows, reps.select("rep", "n_shingles", "signature"), None, k, percent, "likely")
     of = components(likely)
     of = materialize(of.union(of.select(F.col("component").alias("id"), "component").distinct()).withColumnsRenamed({"id": "rep", "component": "family"}), "near-families")
     owned = materialize(of.join(reps.hint("merge"), "rep"), "near-owned")
@@ -317,13 +322,13 @@ def links(docs: DataFrame, described: DataFrame, k: int, percent: int, id_col: s
     small = of.join(sizes.where("small").hint("merge"), "family").select(F.col("family").alias("grp"), "rep", F.col("rep").alias("component")).join(texts.hint("merge"), "rep")
     found = materialize(_compare(small, width_for(spark, (rows or 0) * 240 + (weight or 0) * 8), k, percent), "near-links")
     if large:
-        inside = of.join(sizes.where("NOT small").select("family").hint("merge"), "family").select("rep").join(owned.select("rep", "roots").hint("merge"), "rep")
+        inside = of.join(sizes.where("NOT small").select("family").hint("merge"), "family").select("rep").join(owned.select("rep", "n_shingles", "roots").hint("merge"), "rep")
         inside = materialize(inside, "near-inside")
         own = materialize(inside.select("rep").join(texts.hint("merge"), "rep"), "near-own")
         # One tree first: it leaves few components, and most nodes of the others in one of them.
         first_tree, others = F.slice("roots", 1, 2), F.slice("roots", 3, 2 * TREES)
-        more = _descend(inside.select("rep", F.explode(first_tree).alias("node")), own, None, k, percent, "first")
-        more = _descend(inside.select("rep", F.explode(others).alias("node")), own, more, k, percent, "exact")
+        more = _descend(inside.select("rep", "n_shingles", F.explode(first_tree).alias("node")), own, None, k, percent, "first")
+        more = _descend(inside.select("rep", "n_shingles", F.explode(others).alias("node")), own, more, k, percent, "exact")
         found = found.union(more)
     return classes, found
 
