@@ -118,14 +118,22 @@ def test_token_counts(spark, monkeypatch):
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ODD + ["x<|endoftext|><|endoftext|> y", "  'll  'S don't\n\n x  ", "a" * 700, "1 2 3 " * 300]
-    out = {r["doc_id"]: r for r in token_count.count_tokens(docs(spark, [(i, t, None, None) for i, t in enumerate([*texts, None])])).collect()}
+    rows = docs(spark, [(i, t, None, None) for i, t in enumerate([*texts, None])])
+    out = {r["doc_id"]: r for r in token_count.count_tokens(rows).collect()}
     for i, t in enumerate([*texts, None]):
         n = len(library.encode(t or "", add_special_tokens=False))
         assert (out[i]["n_tokens"], out[i]["n_bytes"], out[i]["over_limit"]) == (n, len((t or "").encode()), n > 512)
-    counter = token_count.PieceCounter(public_tokenizers.path("byte_bpe_50k.json"))
-    monkeypatch.setattr(token_count, "KEPT", 3)
-    monkeypatch.setattr(token_count, "AT_ONCE", 2)
-    assert counter.count(texts).tolist() == [out[i]["n_tokens"] for i in range(len(texts))]
+    # Many slabs, each with a few pre-tokens only.
+    monkeypatch.setattr(token_count, "SLAB_DISTINCT", 3)
+    assert {r["doc_id"]: r for r in token_count.count_tokens(rows).collect()} == out
+    parts = token_count.Dictionary(5, 1, 1)
+    for t in texts:
+        parts.add(token_count.PieceCounter(public_tokenizers.path("byte_bpe_50k.json")).pretokens(t)[0])
+    dictionary, coded = parts.parts()
+    words = [w for _, part in dictionary for w in token_count.words_of(part)]
+    assert sorted(words) == sorted(parts.codes) and [len(c) // 4 for c in coded] == [len(d) for d in parts.docs]
+    for d, c in zip(parts.docs, coded, strict=True):
+        assert sorted(words[k] for k in np.cumsum(token_count.values(c))) == sorted(list(parts.codes)[k] for k in d)
     assert token_count.count_tokens(docs(spark, [])).count() == 0
 
 
