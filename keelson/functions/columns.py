@@ -8,6 +8,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 #: Timestamps down to the microsecond: by default `to_json` prints milliseconds and would hide smaller changes.
 MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -26,9 +27,15 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
-def row_hash(columns: Sequence[str]) -> Column:
-    """MD5 of the row as JSON, null fields kept."""
-    return F.md5(F.to_json(F.struct(*[F.col(name(c)) for c in columns]), {**MICROSECONDS, "ignoreNullFields": "false"}).cast("binary"))
+def flat(kind: DataType) -> bool:
+    """Whether `row_hash` differs exactly where values do; inside arrays and structs it tells 0.0 from -0.0."""
+    return not isinstance(kind, (ArrayType, MapType, StructType))
+
+
+def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A 64-bit hash of the row as JSON, null fields kept; 0.0 and -0.0 are one value."""
+    plus = lambda c: F.col(name(c)) + F.lit(0.0).cast(df.schema[c].dataType) if isinstance(df.schema[c].dataType, (DoubleType, FloatType)) else F.col(name(c))
+    return F.xxhash64(F.to_json(F.struct(*[plus(c).alias(c) for c in columns]), {**MICROSECONDS, "ignoreNullFields": "false"}))
 
 
 def bucket_of(keys: Sequence[str], n: int) -> Column:

@@ -3,8 +3,9 @@
 Keys compare null-safely in all three outputs. Three strategies give equal results:
 
 * `full`: one full outer join of both tables; the choice when most rows differ.
-* `hash`: both sides shrink to (keys, MD5 of the compared columns); only rows whose hash differs are joined whole and
-  compared column by column. Little is shuffled when little differs.
+* `hash`: both sides shrink to (keys, a 64-bit hash of the compared columns), and one full outer join of these says what is
+  added, removed or may have changed. That is all that counts need; the changed rows are then joined whole, those keys only,
+  and compared column by column.
 * `bloom`: like `full`, but rows that exist on one side only are found by anti-joins on key projections, which run-time
   Bloom filters of Spark can prune, and changed rows by an inner join.
 """
@@ -18,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_of, any_of, name, row_hash
+from ..functions.columns import all_of, any_of, flat, name, row_hash
 
 STRATEGIES = ("full", "hash", "bloom")
 
@@ -133,14 +134,19 @@ def diff(left: DataFrame, right: DataFrame, config: DiffConfig, strategy: str =
         ka, kb = a.select(key_names), b.select(key_names)
         added = _whole(b.join(ka, _same_keys(b, ka, n), "left_anti"), "r", keys, right.columns)
         removed = _whole(a.join(kb, _same_keys(a, kb, n), "left_anti"), "l", keys, left.columns)
+        narrow = None
         if strategy == "hash" and columns:
-            ha = left.select(*[F.col(name(k)).alias(f"k{i}") for i, k in enumerate(keys)], row_hash(columns).alias("h"))
-            hb = right.select(*[F.col(name(k)).alias(f"k{i}") for i, k in enumerate(keys)], row_hash(columns).alias("h"))
-            suspects = ha.join(hb, _same_keys(ha, hb, n) & (ha["h"] != hb["h"])).select(*[ha[k].alias(f"s_{k}") for k in key_names]).distinct()
+            short = lambda df, h: df.select(*[F.col(name(k)).alias(f"k{i}") for i, k in enumerate(keys)], row_hash(df, columns).alias(h))
+            ha, hb = short(left, "l_hash"), short(right, "r_hash")
+            narrow = ha.join(hb, _same_keys(ha, hb, n), "full_outer").select(*[F.coalesce(ha[k], hb[k]).alias(f"s_{k}") for k in key_names], "l_hash", "r_hash")
+            suspects = narrow.where("l_hash <> r_hash").select(*[f"s_{k}" for k in key_names]).distinct()
             pick = lambda df: df.join(suspects, all_of(df[k].eqNullSafe(suspects[f"s_{k}"]) for k in key_names), "left_semi")
             a, b = pick(a), pick(b)
         pairs = a.join(b, _same_keys(a, b, n)).select(*[a[k] for k in key_names], *[F.col(name(f"{s}_{c}")) for c in columns for s in "lr"])
         changed = _changed_rows(pairs, keys, columns)
-        parts = _count(added, "added").union(_count(removed, "removed")).union(_count(changed, "changed"))
-        counts = parts.agg(*[F.max(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("added", "removed", "changed")])
+        if narrow is not None and all(flat(left.schema[c].dataType) and left.schema[c].dataType == right.schema[c].dataType for c in columns):
+            counts = narrow.agg(F.count_if(F.col("l_hash").isNull()).alias("added"), F.count_if(F.col("r_hash").isNull()).alias("removed"), F.count_if(F.col("l_hash") != F.col("r_hash")).alias("changed"))
+        else:
+            parts = _count(added, "added").union(_count(removed, "removed")).union(_count(changed, "changed"))
+            counts = parts.agg(*[F.max(F.when(F.col("what") == w, F.col("n"))).alias(w) for w in ("added", "removed", "changed")])
     return DiffResult(_limited(added, keys, config.limit), _limited(removed, keys, config.limit), _limited(changed, keys, config.limit), counts)

@@ -1,8 +1,8 @@
 """Joins that spread the rows of hot keys over several reducers.
 
 Rows of the skewed side get a salt, those of the other side a copy for every salt; both only for hot keys. The salt comes
-from a hash of the row, so a task that runs again gives the same rows. Rows with null or cold keys keep salt 0, in the same
-projection. Outer joins may only preserve the salted side: copies of the other side would be padded once each.
+from a hash of the row's values alone, so a task that runs again, on rows in another order, gives the same rows; equal rows
+share a salt. Rows with null or cold keys keep salt 0, in the same projection. Outer joins may only preserve the salted side: copies of the other side would be padded once each.
 """
 
 from __future__ import annotations
@@ -54,6 +54,11 @@ def _is_hot(keys: Sequence[str], hot: Sequence[Row] | None) -> Column:
     return F.coalesce(any_of(all_of(c == F.lit(v) for c, v in zip(columns, r, strict=False)) for r in hot), F.lit(False))
 
 
+def value_salt(df: DataFrame, n: int) -> Column:
+    """0 to n - 1, by a hash of the row's values (of all but maps, which can't be hashed)."""
+    return F.pmod(F.xxhash64(F.lit(SALT), *[F.col(name(c)) for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]), F.lit(n))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salt_factor: int = 10, hot: Sequence[Row] | None = None, side: str = "left") -> DataFrame:
     """Join with `side` salted. hot: the key values to spread; None spreads all."""
     kind = TYPES.get(how.lower())
@@ -64,8 +69,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     keys = list(keys)
 
     def spread(df: DataFrame) -> DataFrame:
-        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id(), *[F.col(name(c)) for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]), F.lit(salt_factor))
-        return df.withColumn(SALT, F.when(_is_hot(keys, hot), salt).otherwise(F.lit(0)).cast("int"))
+        return df.withColumn(SALT, F.when(_is_hot(keys, hot), value_salt(df, salt_factor)).otherwise(F.lit(0)).cast("int"))
 
     def repeat(df: DataFrame) -> DataFrame:
         every, one = F.sequence(F.lit(0), F.lit(salt_factor - 1)), F.array(F.lit(0))

@@ -70,7 +70,9 @@ def _salt(n: int, hot: Sequence[str] | None) -> Rewrite:
 
         at = side == "right"
         build_key, skewed_key = keys[0][at], keys[0][not at]
-        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+        # By values, so that a task that runs again deals alike; maps can't be hashed, and then the keys alone are.
+        whole = F.struct(*[k[not at] for k in keys]) if "map<" in skewed.schema.simpleString() else F.struct("*")
+        salt = F.pmod(F.xxhash64(whole), F.lit(n)).cast("int")
         spread = skewed.withColumn(f"{SALT}_s", F.when(is_hot(skewed_key), salt).otherwise(F.lit(0)))
         every = F.sequence(F.lit(0), F.lit(n - 1))
         repeated = build.withColumn(f"{SALT}_b", F.explode(F.when(is_hot(build_key), every).otherwise(F.array(F.lit(0)))))
