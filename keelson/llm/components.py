@@ -1,12 +1,21 @@
-"""Connected components by large and small stars, each a grouping and a join; no vertex's neighbours meet in one row."""
+"""Connected components by large and small stars, each a grouping and a join; no vertex's neighbours meet in one row.
+
+Up to `LOCAL` edges, a stated bound of 16 MB, are solved in one task, as a round of stars costs more than that.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize
 
+LOCAL = 1 << 20
+
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """Link each vertex's neighbours (both: the larger ones, by way of all edges; else the smaller ones and itself) to the
@@ -28,13 +37,39 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges to u, v: each vertex and the smallest that it reaches."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    ids, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    top = np.arange(len(ids))
+    while True:
+        low = np.minimum(top[a], top[b])
+        new = top.copy()
+        # Both ends, and what they are known to lead to, go to the lesser.
+        for end in (a, b, top[a], top[b]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if np.array_equal(new, top):
+            break
+        top = new
+    own = np.flatnonzero(top != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[top[own]])], names=["u", "v"])
+
+
+def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """id, component for each vertex of `edges` (a, b: long) that isn't the smallest of its component.
 
     component: the smallest vertex that is reached. Loops and repeated edges do no harm.
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
-    now = materialize(edges.select(high.alias("u"), low.alias("v")).where("u > v").distinct(), "edges")
-    while not _settled(now):
-        now = materialize(_stars(materialize(_stars(now, True), "edges"), False), "edges")
+    now = materialize(edges.select(high.alias("u"), low.alias("v")).where("u > v"), label)
+    if now.count() <= LOCAL:
+        now = materialize(now.repartition(1).mapInArrow(_solved, "u bigint, v bigint"), label)
+    else:
+        now = materialize(now.distinct(), label)
+        while not _settled(now):
+            now = materialize(_stars(materialize(_stars(now, True), label), False), label)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

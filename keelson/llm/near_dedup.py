@@ -9,11 +9,12 @@ are families. All classes of a small family then meet once, with their texts, an
 descend the trees again, compared on full sets from the start. A comparison returns stars of what it has linked, never all
 pairs, so that all results are linear in the members of nodes.
 
-Skew: no group holds more than about 2 * SMALL classes. A passage that many documents share makes large nodes, whose members
-part as deeper tokens fall outside it. A family of near copies parts slowly, so at every second level (of full sets: at each) large nodes are dealt
-into parts, each compared exhaustively, and most of such a family become one component wherever the node is cut; what is
-outside of the node's largest component is then compared with every part, if it is small, or else all branch on. Pairs of one
-component are not compared again.
+Skew: no group holds more than about 2 * SMALL classes. Members of larger nodes are passed on to the nodes below as they come,
+those of the few nodes with a 20 000th of all members before anything is shuffled. A passage that many documents share makes
+large nodes, whose members part as deeper tokens fall outside it. A family of near copies parts slowly, so at every fourth
+level large nodes are dealt into parts, each compared exhaustively, and most of such a family become one component wherever
+the node is cut; what is outside of the node's largest component is then compared with every part, if it is small, or else
+branches on. Pairs of one component are not compared again.
 
 Recall: a pair at the threshold of 0.8 stays together for 1.1 picks of a node on average, so it is not lost with depth: it
 is missed by all 12 picks at the roots with a chance of 0.2 ** 12 where these are small, and of 0.01 however deep they are.
@@ -39,8 +40,9 @@ from ._text import GOLD, U64, Block, as_bytes, blocks, mix, prefix_hashes, shing
 from .components import components
 
 #: Minwise tokens of a signature; independent trees; most members of a node, part or family that is compared exhaustively,
-#: and most shingles of those that are compared on full sets; of how many levels one compares large nodes in parts.
-TOKENS, TREES, SMALL, HEAVY, CONTRACT = 128, 8, 1024, 1 << 22, 2
+#: and most shingles of those that are compared on full sets; of how many levels one compares large nodes in parts; nodes
+#: with more than this part of all members pass them on without meeting in one task; most bits for the sets of a group, in bytes.
+TOKENS, TREES, SMALL, HEAVY, CONTRACT, HOT_NODES, BITS = 128, 8, 4096, 1 << 22, 4, 20_000, 1 << 30
 #: A pair whose signatures agree in less than the threshold by so many standard deviations is not confirmed.
 DEVIATIONS = 4.0
 SALTS = mix((np.arange(1, TOKENS + 1).astype(U64)) * GOLD)
@@ -130,55 +132,6 @@ def describe(docs: DataFrame, k: int, trees: int, id_col: str, text_col: str) ->
     return rows.mapInArrow(run, SETS.format(id=rows.schema["id"].dataType.simpleString()))
 
 
-class _Merger:
-    """Components among the members of one group: links found so far count, and members of one known component are linked."""
-
-    def __init__(self, component: np.ndarray, signature: np.ndarray, size: np.ndarray, least: float, percent: int):
-        self.component, self.label = np.unique(component, return_inverse=True)
-        self.signature, self.size, self.least, self.percent = signature, size, least * TOKENS, percent
-        self.top = np.arange(len(self.component))  # of known components
-
-    def merge(self, similar: Callable[[int, int], bool] | None) -> tuple[np.ndarray, np.ndarray]:
-        """Known components that links unite: the smallest of all, and each other. similar: the last word on a likely pair."""
-        own = self.label.copy()
-        for i in range(1, len(own)):
-            other = np.flatnonzero(own[:i] != own[i])
-            if not len(other):
-                continue
-            smaller, larger = np.minimum(self.size[other], self.size[i]), np.maximum(self.size[other], self.size[i])
-            other = other[100 * smaller >= self.percent * larger]
-            agree = np.count_nonzero(self.signature[other] == self.signature[i], axis=1)
-            likely = agree >= self.least
-            for j in other[likely][np.argsort(-agree[likely], kind="stable")]:
-                if own[j] != own[i] and (similar is None or similar(int(j), i)):
-                    low, high = sorted((own[i], own[j]))
-                    own[own == high] = low
-                    self.top[self.top == high] = low
-        other = np.flatnonzero(self.top != np.arange(len(self.top)))
-        return self.component[self.top[other]], self.component[other]
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups (the first column, in order), with the index at which each group starts, and the end."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if rest and rest[-1].column(0)[-1].as_py() == batch.column(0)[-1].as_py() and len(rest) < 64:
-            rest.append(batch)
-            continue
-        table = pa.Table.from_batches([*rest, batch]).combine_chunks()
-        group = table.column(0).to_numpy()
-        last = int(np.searchsorted(group, group[-1]))
-        if last:
-            yield table.slice(0, last), np.concatenate([[0], np.flatnonzero(np.diff(group[:last])) + 1, [last]])
-        rest = table.slice(last).to_batches()
-    if rest:
-        table = pa.Table.from_batches(rest).combine_chunks()
-        group = table.column(0).to_numpy()
-        yield table, np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-
-
 def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     out = []
     for block in blocks(texts, fold=True):
@@ -187,39 +140,162 @@ def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def _compare(rows: DataFrame, width: int, k: int, percent: int) -> DataFrame:
-    """a, b: what the links within each group unite, as stars of the members' components: the smallest of them and another.
-
-    rows: grp, rep, component, n_shingles, signature, and, if links are to be confirmed on full sets, text.
+class _Shared:
+    """Sizes of the intersections of one set with others: by bits for what any two sets share, if these fit in memory."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.bits = sets, None
+        if len(sets) > 8:
+            code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+            place = np.cumsum(times > 1) - 1
+            width = int(place[-1]) + 1
+            if width * len(sets) <= BITS:
+                self.bits, at = np.zeros((len(sets), -(-width // 64)), U64), 0
+                row = np.zeros(self.bits.shape[1] * 64, np.uint8)
+                for i, own in enumerate(sets):
+                    mine = code[at : at + len(own)]
+                    mine = place[mine[times[mine] > 1]]
+                    at += len(own)
+                    row[mine] = 1
+                    self.bits[i] = np.packbits(row).view(U64)
+                    row[mine] = 0
+
+    def with_(self, i: int, others: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        return np.array([len(np.intersect1d(self.sets[j], self.sets[i], assume_unique=True)) for j in others], np.int64)
+
+
+def united(component: np.ndarray, signature: np.ndarray, size: np.ndarray, least: float, percent: int, shared: _Shared | None) -> tuple[np.ndarray, np.ndarray]:
+    """Known components that links among the members of a group unite: the smallest of those that are one now, and each other.
+
+    least: of agreeing minwise tokens of a likely pair. shared: confirms likely pairs on full sets, if given.
     """
-    threshold = percent / 100
-    least = threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / TOKENS)
+    known, label = np.unique(component, return_inverse=True)
+    top = np.arange(len(known))
+    label = label.astype(np.int64)
+    for i in range(1, len(label)):
+        others = np.flatnonzero(label[:i] != label[i])
+        if not len(others):
+            continue
+        smaller, larger = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+        others = others[100 * smaller >= percent * larger]
+        others = others[np.count_nonzero(signature[others] == signature[i], axis=1) >= least]
+        if shared is not None and len(others):
+            both = shared.with_(i, others)
+            others = others[100 * both >= percent * (size[others] + size[i] - both)]
+        if len(others):
+            joined = np.unique(np.append(label[others], label[i]))
+            label[np.isin(label, joined)] = joined[0]
+            top[np.isin(top, joined)] = joined[0]
+    other = np.flatnonzero(top != np.arange(len(top)))
+    return known[top[other]], known[other]
+
+
+OUT = "a bigint, b bigint, node bigint, rep bigint, component bigint, n_shingles bigint, signature binary, text string"
+MEMBER = ("node", "rep", "component", "n_shingles", "signature", "text")
+
+
+def _links_of(table: pa.Table, starts: np.ndarray, k: int, percent: int, least: float) -> pa.RecordBatch:
+    """What unites the members of each group of a table; columns as MEMBER, text perhaps null."""
+    component, size = table.column(2).to_numpy(), table.column(3).to_numpy()
+    signature = as_bytes(table.column(4))[0].reshape(-1, TOKENS)
+    exact = table.num_rows > 0 and table.column(5).null_count == 0
+    a, b, g = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while g < len(starts) - 1:
+        # Sets of some groups at a time.
+        upto, weight = g, 0
+        while upto < len(starts) - 1 and (upto == g or weight + size[starts[upto] : starts[upto + 1]].sum() <= HEAVY):
+            weight += size[starts[upto] : starts[upto + 1]].sum()
+            upto += 1
+        sets = _sets(table.column(5).slice(starts[g], starts[upto] - starts[g]), k) if exact else []
+        for s, e in zip(starts[g:upto], starts[g + 1 : upto + 1], strict=True):
+            if e - s > 1:
+                low, high = united(component[s:e], signature[s:e], size[s:e], least, percent, _Shared(sets[s - starts[g] : e - starts[g]]) if exact else None)
+                a.append(low)
+                b.append(high)
+        g = upto
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())]], names=["a", "b", *MEMBER])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _whole_groups(batches):
-            component, size = table.column(2).to_numpy(), table.column(3).to_numpy()
-            signature = as_bytes(table.column(4))[0].reshape(-1, TOKENS)
-            a, b = [], []
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if e - s == 1:
-                    continue
-                similar, sets = None, []
-                if table.num_columns > 5:
 
-                    def similar(i: int, j: int, s: int = s, e: int = e, sets: list = sets) -> bool:
-                        if not sets:
-                            sets += _sets(table.column(5).slice(s, e - s), k)
-                        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        return 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared)
+def _branched(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Members of large nodes in the nodes below, of which a node has one or, three times of eight, two."""
+    node = table.column(0).to_numpy().view(U64)
+    signature = as_bytes(table.column(4))[0].reshape(-1, TOKENS)
+    two = mix(node + GOLD) % U64(8) < 3
+    below = []
+    for which in (1, 2):
+        token = mix(node ^ SALTS[which]) % U64(TOKENS)
+        value = signature[np.arange(len(node)), token.astype(np.int64)]
+        below.append(mix(mix(node * GOLD + token) + value.astype(U64)).view(np.int64))
+    for nodes, at in ((below[0], np.arange(len(node))), (below[1], np.flatnonzero(two & (below[0] != below[1])))):
+        if len(at):
+            part = table.take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(nodes[at]), *[part.column(i).combine_chunks() for i in range(1, 6)]], names=["a", "b", *MEMBER])
+
+
+def _walk(k: int, percent: int, small: int, heavy: int):
+    """Node by node (rows as MEMBER, sorted): links within a small one; the members of a large one, in the nodes below."""
+    threshold = percent / 100
+    least = (threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / TOKENS)) * TOKENS
 
-                low, high = _Merger(component[s:e], signature[s:e], size[s:e], least, percent).merge(similar)
-                a.append(low)
-                b.append(high)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        passing = None  # the large node that is being passed on
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Whole nodes."""
+            node = table.column(0).to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
+            n = np.diff(starts)
+            weight = np.add.reduceat(table.column(3).to_numpy(), starts[:-1])
+            # Of two there is nothing to branch for.
+            large = (n > small) | ((n > 2) & (weight > heavy) & (table.column(5).null_count == 0))
+            if large.any():
+                chosen = np.repeat(large, n)
+                yield from _branched(table.filter(pa.array(chosen)))
+                table = table.filter(pa.array(~chosen)).combine_chunks()
+                n = n[~large]
+                starts = np.concatenate([[0], np.cumsum(n)])
+            if (n > 1).any():
+                yield _links_of(table.combine_chunks(), starts, k, percent, least)
 
-    names = [c for c in ("grp", "rep", "component", "n_shingles", "signature", "text") if c in rows.columns]
-    return rows.select(*names).repartition(width, "grp").sortWithinPartitions("grp", "rep").mapInArrow(run, "a bigint, b bigint")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if passing is not None:
+                more = int(np.searchsorted(table.column(0).to_numpy(), passing, "right"))
+                if more:
+                    yield from _branched(table.slice(0, more))
+                    table = table.slice(more)
+                if not table.num_rows:
+                    continue
+                passing = None
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            table = table.combine_chunks()
+            node = table.column(0).to_numpy()
+            last = int(np.searchsorted(node, node[-1]))
+            if last:
+                yield from done(table.slice(0, last).combine_chunks())
+            rest = table.slice(last)
+            if rest.num_rows > small:
+                yield from _branched(rest.combine_chunks())
+                rest, passing = None, int(node[-1])
+        if rest is not None:
+            yield from done(rest.combine_chunks())
+
+    return run
+
+
+def _compare(rows: DataFrame, width: int, k: int, percent: int, small: int | None = None) -> DataFrame:
+    """What links within each node of `rows` (MEMBER) unite, and the members of larger nodes than `small`, if given, in the
+    nodes below."""
+    text = F.col("text") if "text" in rows.columns else F.lit(None).cast("string").alias("text")
+    rows = rows.select("node", "rep", "component", "n_shingles", "signature", text)
+    return rows.repartition(width, "node").sortWithinPartitions("node", "rep").mapInArrow(_walk(k, percent, small or 1 << 40, HEAVY if small else 1 << 60), OUT)
 
 
 def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -228,74 +304,82 @@ def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.drop("component").join(joined.hint("merge"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _children(members: DataFrame) -> DataFrame:
-    """Members of large nodes in the nodes below, of which a node has one or, three times of eight, two."""
-
-    def below(which: int) -> Column:
-        token = F.pmod(F.xxhash64("node", F.lit(which)), F.lit(TOKENS)).cast("int")
-        return F.xxhash64("node", token, F.substring(F.col("signature"), token + 1, F.lit(1)))
-
-    two = F.pmod(F.xxhash64("node", F.lit("two")), F.lit(8)) < 3
-    return members.withColumn("node", F.explode(F.when(two, F.array_distinct(F.array(below(0), below(1)))).otherwise(F.array(below(0)))))
-
-
-def _descend(members: DataFrame, own: DataFrame, links: DataFrame | None, k: int, percent: int, label: str) -> DataFrame:
-    """All links (a, b) that are found at the nodes of `members` (node, rep, n_shingles) and below, and `links`, those known.
-
-    own: rep, n_shingles, signature, and text if links are to be confirmed on full sets; a row per class.
+def _contract(members: DataFrame, found: list[DataFrame], width: int, k: int, percent: int, label: str) -> DataFrame:
+    """Compare the members of large nodes in parts, and what is then outside of a node's largest component with every part
+    of it, if that is little; adds to `found`, and returns the members of the nodes below the others."""
+    exact, columns = "text" in members.columns, members.columns
+
+    def links(groups: DataFrame) -> DataFrame:
+        return materialize(_compare(groups, width, k, percent).select("a", "b"), f"near-links-{label}")
+
+    pieces = F.ceil(F.greatest(F.col("n") / SMALL, F.col("weight") / HEAVY if exact else F.lit(0.0)))
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    sizes = sizes.where("n > 1 AND lo < hi").select("node", F.when(F.col("n") == 2, F.lit(1)).otherwise(pieces).cast("long").alias("pieces"))
+    dealt = members.join(materialize(sizes, f"near-sizes-{label}").hint("merge"), "node")
+    part = lambda at: F.when(F.col("pieces") == 1, F.col("node")).otherwise(F.xxhash64("node", at))
+    dealt = materialize(dealt.withColumn("part", part(F.pmod(F.xxhash64("rep", "node"), F.col("pieces")))), f"near-dealt-{label}")
+    found.append(links(dealt.withColumn("node", F.col("part"))))
+    large = materialize(_with_component(dealt.where("pieces > 1"), reduce(DataFrame.union, found)), f"near-large-{label}")
+    kinds = large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).groupBy("node")
+    kinds = kinds.agg(F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    few = (F.col("n") - F.col("top.n") <= SMALL) & (F.lit(not exact) | (F.col("weight") - F.col("top.weight") <= HEAVY))
+    kinds = materialize(kinds.select("node", F.col("top.component").alias("major"), few.alias("few")), f"near-kinds-{label}")
+    large = materialize(large.join(kinds.hint("merge"), "node"), f"near-mixed-{label}")
+    minors = large.where("few AND component <> major").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda at: F.xxhash64("node", at))))
+    groups = large.where("few AND component = major").select("part", *columns).union(minors.select("part", *columns))
+    found.append(links(groups.withColumn("node", F.col("part"))))
+    return materialize(large.where("NOT few").select(*columns).mapInArrow(_passed, OUT).select(*columns), f"near-members-{label}")
+
+
+def _descend(members: DataFrame, links: DataFrame | None, k: int, percent: int, label: str) -> DataFrame:
+    """All links (a, b) that are found at the nodes of `members` and below, and `links`, those known.
+
+    members: MEMBER without component; with text if links are to be confirmed on full sets.
     """
-    spark, exact = members.sparkSession, "text" in own.columns
-    per_row, per_shingle = (240, 8) if exact else (160, 0)
+    spark, exact = members.sparkSession, "text" in members.columns
+    per_row, per_shingle = (240, 8) if exact else (240, 0)
+    columns = [c for c in MEMBER if exact or c != "text"]
     members = _with_component(members, links) if links is not None else members.withColumn("component", F.col("rep"))
+    members = materialize(members.select(*columns), f"near-members-{label}")
     found, level = [] if links is None else [links], 0
-
-    def compared(groups: DataFrame, rows: int, weight: int) -> DataFrame:
-        each = groups.select("grp", "rep", "component").join(own.hint("merge"), "rep")
-        return materialize(_compare(each, width_for(spark, rows * per_row + weight * per_shingle), k, percent), f"near-links-{label}")
-
     while True:
-        members = materialize(members, f"near-members-{label}")
-        pieces = F.ceil(F.greatest(F.col("n") / SMALL, F.col("weight") / HEAVY if exact else F.lit(0.0)))
-        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        sizes = sizes.where("n > 1 AND lo < hi").select("node", "n", "weight", F.when(F.col("n") == 2, F.lit(1)).otherwise(pieces).cast("long").alias("pieces"))
-        sizes = materialize(sizes, f"near-nodes-{label}")
-        rows, weight, most = sizes.agg(F.sum("n"), F.sum("weight"), F.max("pieces")).first()
+        rows, weight = members.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
         if not rows:
             break
-        dealt = members.join(sizes.select("node", "pieces").hint("merge"), "node")
-        dealt = dealt.withColumn("grp", F.when(F.col("pieces") == 1, F.col("node")).otherwise(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), F.col("pieces")))))
-        dealt = materialize(dealt, f"near-dealt-{label}")
         level += 1
-        large = dealt.where("pieces > 1")
-        if most > 1 and not exact and level % CONTRACT:
-            found.append(compared(dealt.where("pieces = 1"), rows, weight))
+        width = width_for(spark, rows * per_row + (weight or 0) * per_shingle)
+        if level % CONTRACT:
+            # Nodes with so many members, of which there are few, pass their members on at once, wherever these are.
+            most = max(SMALL, rows // HOT_NODES)
+            hot = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("node")
+            hot = materialize(hot, f"near-hot-{label}") if rows > most else None
+            few = members if hot is None else members.join(F.broadcast(hot), "node", "left_anti")
+            walked = materialize(_compare(few, width, k, percent, SMALL), f"near-walk-{label}")
+            found.append(walked.where("a IS NOT NULL").select("a", "b"))
+            below = walked.where("a IS NULL").select(*columns)
+            if hot is not None and not hot.isEmpty():
+                below = below.union(members.join(F.broadcast(hot), "node").select(*columns).mapInArrow(_passed, OUT).select(*columns))
+            members = materialize(below, f"near-members-{label}")
         else:
-            found.append(compared(dealt, rows, weight))
-            if most == 1:
-                break
-            # What is outside of the largest component of a large node.
-            large = materialize(_with_component(large, reduce(DataFrame.union, found)), f"near-large-{label}")
-            kinds = large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).groupBy("node")
-            kinds = kinds.agg(F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-            few = (F.col("n") - F.col("top.n") <= SMALL) & (F.lit(not exact) | (F.col("weight") - F.col("top.weight") <= HEAVY))
-            kinds = materialize(kinds.select("node", F.col("top.component").alias("major"), few.alias("few")), f"near-kinds-{label}")
-            large = materialize(large.join(kinds.hint("merge"), "node"), f"near-mixed-{label}")
-            parts = F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)
-            minors = large.where("few AND component <> major").withColumn("grp", F.explode(F.transform(parts, lambda part: F.xxhash64("node", part))))
-            groups = large.where("few AND component = major").select("grp", "rep", "component").union(minors.select("grp", "rep", "component"))
-            found.append(compared(groups, rows, weight))
-            large = large.where("NOT few")
-        large = large.select("node", "rep", "component", "n_shingles").join(own.select("rep", "signature").hint("merge"), "rep")
-        members = _children(large).drop("signature")
+            members = _contract(members, found, width, k, percent, label)
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a bigint, b bigint")
 
 
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            if table.num_columns < len(MEMBER):
+                table = table.append_column("text", pa.nulls(table.num_rows, pa.string()))
+            yield from _branched(table.combine_chunks())
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The given classes (rep, kid, kh, n_shingles, signature) with a text of each."""
+    """The given classes (rep, family, kid, kh, n_shingles, signature) with a text of each."""
     keyed = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    found = keyed.join(wanted.hint("merge"), (keyed["_kid"] == wanted["kid"]) & (keyed["_kh"] == wanted["kh"]))
-    # Repeated rows have a class's key each.
-    return found.select("rep", "n_shingles", "signature", "text").groupBy("rep").agg(*[F.first(c).alias(c) for c in ("n_shingles", "signature", "text")])
+    found = keyed.join(wanted.withColumnsRenamed({"kid": "_kid", "kh": "_kh"}).hint("merge"), ["_kid", "_kh"])
+    # Repeated rows have one key; they are where the join has put it.
+    return found.groupBy("_kid", "_kh").agg(*[F.first(c).alias(c) for c in ("rep", "family", "n_shingles", "signature", "text")]).drop("_kid", "_kh")
 
 
 def links(docs: DataFrame, described: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -308,27 +392,37 @@ def links(docs: DataFrame, described: DataFrame, k: int, percent: int, id_col: s
     reps = materialize(full.join(classes.select("rep").hint("merge"), F.col("row") == F.col("rep")).select("rep", "kid", "kh", "n_shingles", "roots", "signature"), "near-reps")
 
     # Families: what signatures link.
-    rows = reps.select("rep", "n_shingles", F.explode("roots").alias("node"))
-    likely = _descend(rows, reps.select("rep", "n_shingles", "signature"), None, k, percent, "likely")
-    of = components(likely)
-    of = materialize(of.union(of.select(F.col("component").alias("id"), "component").distinct()).withColumnsRenamed({"id": "rep", "component": "family"}), "near-families")
+    rows = reps.select("rep", "n_shingles", "signature", F.explode("roots").alias("node"))
+    of = components(_descend(rows, None, k, percent, "likely"))
+    of = of.union(of.select(F.col("component").alias("id"), "component").distinct()).withColumnsRenamed({"id": "rep", "component": "family"})
     owned = materialize(of.join(reps.hint("merge"), "rep"), "near-owned")
-    sizes = owned.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
-    sizes = materialize(sizes.withColumn("small", F.expr(f"n = 2 OR (n <= {SMALL} AND weight <= {HEAVY})")), "near-sizes")
-    texts = materialize(_texts(docs, owned.select("rep", "kid", "kh", "n_shingles", "signature"), id_col, text_col), "near-texts")
-    rows, weight, large = sizes.agg(F.sum("n"), F.sum("weight"), F.count_if(~F.col("small"))).first()
+    sizes = materialize(owned.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")), "near-sizes")
+    large = F.expr(f"n > 2 AND (n > {SMALL} OR weight > {HEAVY})")
+    rows, weight, some = sizes.agg(F.sum("n"), F.sum("weight"), F.count_if(large)).first()
+    texts = materialize(_texts(docs, owned.drop("roots"), id_col, text_col), "near-texts")
 
     # Small families meet; large ones descend on full sets.
-    small = of.join(sizes.where("small").hint("merge"), "family").select(F.col("family").alias("grp"), "rep", F.col("rep").alias("component")).join(texts.hint("merge"), "rep")
-    found = materialize(_compare(small, width_for(spark, (rows or 0) * 240 + (weight or 0) * 8), k, percent), "near-links")
-    if large:
-        inside = of.join(sizes.where("NOT small").select("family").hint("merge"), "family").select("rep").join(owned.select("rep", "n_shingles", "roots").hint("merge"), "rep")
-        inside = materialize(inside, "near-inside")
-        own = materialize(inside.select("rep").join(texts.hint("merge"), "rep"), "near-own")
+    width = width_for(spark, (rows or 0) * 240 + (weight or 0) * 8)
+    marked = texts.join(sizes.where(large).select("family", F.lit(True).alias("large")).hint("merge"), "family", "left") if some else texts
+    small = marked.where("large IS NULL") if some else texts
+    small = small.select(F.col("family").alias("node"), "rep", F.col("rep").alias("component"), "n_shingles", "signature", "text")
+    found = materialize(_compare(small, width, k, percent).select("a", "b"), "near-links")
+    if some:
+        own = materialize(marked.where("large").drop("family", "large"), "near-own")
+        roots = materialize(own.select("rep").join(reps.select("rep", "roots").hint("merge"), "rep"), "near-inside")
+
+        def members(picks: Column, links: DataFrame | None) -> DataFrame:
+            """At nodes that hold several components."""
+            nodes = roots.select("rep", F.explode(picks).alias("node"))
+            if links is not None:
+                nodes = _with_component(nodes, links)
+                several = nodes.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node")
+                nodes = nodes.join(several.hint("merge"), "node", "left_semi")
+            return nodes.select("rep", "node").join(own.hint("merge"), "rep")
+
         # One tree first: it leaves few components, and most nodes of the others in one of them.
-        first_tree, others = F.slice("roots", 1, 2), F.slice("roots", 3, 2 * TREES)
-        more = _descend(inside.select("rep", "n_shingles", F.explode(first_tree).alias("node")), own, None, k, percent, "first")
-        more = _descend(inside.select("rep", "n_shingles", F.explode(others).alias("node")), own, more, k, percent, "exact")
+        more = _descend(members(F.slice("roots", 1, 2), None), None, k, percent, "first")
+        more = _descend(members(F.slice("roots", 3, 2 * TREES), more), more, k, percent, "exact")
         found = found.union(more)
     return classes, found
 
