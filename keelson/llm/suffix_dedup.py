@@ -21,6 +21,7 @@ lose nothing; of repeated rows each is a copy of the other; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
-from ._text import GOLD, U64, blocks, mix, prefix_hashes, span_hashes
-from .suffix_sort import repeated, scratch
+from ._common import materialize, width_for
+from ._text import GOLD, U64, as_bytes, blocks, mix, prefix_hashes, span_hashes
+from .suffix_sort import IN_MEMORY, repeated
 
 LENGTH, SEED, GROUP = 400, 32, 64
+#: Bytes of a shard, about: its pieces go to a scratch file of the task, whatever their number.
+SHARD = 8 << 20
 #: Longer texts are cut, for anchors, into overlapping parts of so many bytes; places in a part take PLACE_BITS bits.
 PART, PLACE_BITS = 1 << 22, 24
 SEPARATOR = 0xFF  # not a byte of UTF-8
@@ -128,42 +131,53 @@ def _halves(length: int):
 SPANS = "d1 bigint, d2 bigint, start int, size int"
 
 
-def _sorted_shard(length: int):
-    """Repeated strings of a shard's pieces, as spans of their documents."""
+def joined(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces one after the other, each followed by a separator; and their sizes."""
+    text, offsets = as_bytes(data)
+    out = np.full(len(text) + len(data), SEPARATOR, np.uint8)
+    sizes = np.diff(offsets)
+    out[np.arange(len(text)) + np.repeat(np.arange(len(data)), sizes)] = text
+    return out, sizes
+
+
+def _sorted_shard(length: int, in_memory: int):
+    """Repeated strings of a shard's pieces, as spans of their documents.
+
+    Only the pieces' keys are held; their bytes, and all that the sort makes of them beyond `in_memory` entries, are on disk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, parts, total = [], [], 0
-        for batch in batches:
-            keys.append([batch.column(i) for i in range(3)])
-            data = batch.column(3)
-            parts.append(data)
-            total += sum(len(x.as_py()) + 1 for x in data)
-        if not total:
-            return
-        text, sizes, at = scratch(total, np.uint8, 1 << 26), [], 0
-        for data in parts:
-            for x in data:
-                piece = np.frombuffer(x.as_py(), np.uint8)
-                text[at : at + len(piece)] = piece
-                text[at + len(piece)] = SEPARATOR
-                at += len(piece) + 1
-                sizes.append(len(piece))
-        starts = np.concatenate([[0], np.cumsum(np.array(sizes) + 1)])[:-1]
-        flags = repeated(text, length)
-        piece, first, last = [], [], []
-        for k, (s, n) in enumerate(zip(starts, sizes, strict=True)):
-            # Strings that reach beyond their piece are none of it.
-            hit = np.flatnonzero(flags[s : s + n - length + 1])
-            if len(hit):
-                cut = np.flatnonzero(np.diff(hit) > 1)
-                piece += [k] * (len(cut) + 1)
-                first += hit[np.concatenate([[0], cut + 1])].tolist()
-                last += hit[np.concatenate([cut, [len(hit) - 1]])].tolist()
-        if not piece:
-            return
-        d1, d2, start = (pa.concat_arrays([k[i] for k in keys]).take(pa.array(piece)) for i in range(3))
-        first, last = np.array(first), np.array(last)
-        yield pa.RecordBatch.from_arrays([d1, d2, pa.array((start.to_numpy() + first).astype(np.int32)), pa.array((last - first + length).astype(np.int32))], names=["d1", "d2", "start", "size"])
+        keys, sizes = [], []
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                for s in range(0, batch.num_rows, 1024):
+                    part = batch.slice(s, 1024)
+                    text, own = joined(part.column(3))
+                    file.write(text.data)
+                    sizes.append(own)
+                    keys.append([part.column(i).to_numpy() for i in range(3)])
+            if not keys:
+                return
+            file.flush()
+            text = np.memmap(file, np.uint8, "r")
+        sizes, (d1, d2, at) = np.concatenate(sizes), (np.concatenate([k[i] for k in keys]) for i in range(3))
+        del keys
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        flags = repeated(text, length, in_memory)
+        lo = 0
+        while lo < len(sizes):
+            # Some pieces at a time: runs of flags, less those of strings that reach beyond their piece.
+            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 22), "right")) - 1)
+            own = np.zeros(starts[hi] - starts[lo] + 2, bool)
+            own[1:-1] = flags[starts[lo] : starts[hi]]
+            ends = starts[lo + 1 : hi + 1] - starts[lo]
+            for back in range(length):
+                own[np.maximum(ends - back, starts[lo:hi] - starts[lo] + 1)] = False
+            edge = np.diff(own.astype(np.int8))
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            piece = np.searchsorted(starts, first + starts[lo], "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(d1[piece]), pa.array(d2[piece]), pa.array((at[piece] + first + starts[lo] - starts[piece]).astype(np.int32)), pa.array((last - first + length - 1).astype(np.int32))], names=["d1", "d2", "start", "size"])
+            lo = hi
 
     return run
 
@@ -183,7 +197,6 @@ def places(length: int, seed: int) -> int:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """d1, d2 (key of a document), start, size: spans covered by repeated strings; they may overlap."""
     keyed = _keyed(docs, id_col, text_col)
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(segments(keyed.select("d1", "d2", "text"), length, seed), "suffix-segments")
     # 1. Anchors that occur twice.
     shared = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "suffix-anchors")
@@ -192,7 +205,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     place = F.struct("d1", "d2", "start", "size", "place")
     distinct = materialize(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")), "suffix-distinct")
     copies = found.join(distinct.where("n > 1").select("anchor", "content").hint("merge"), ["anchor", "content"])
-    spans = [copies.select("d1", "d2", "start", "size")]
+    # Written at once: a join that nothing is grouped on can be split where one content is hot.
+    spans = [materialize(copies.select("d1", "d2", "start", "size"), "suffix-copies")]
     # 3. Different segments of an anchor, with their bytes.
     several = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "suffix-groups")
     rows = distinct.join(several.hint("merge"), "anchor").select(F.col("anchor").alias("grp"), "content", "members", "one.*")
@@ -211,14 +225,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
         one = F.min(F.struct("d1", "d2", "start", "place", "lo", "hi", "data"))
         distinct = materialize(parts.groupBy("grp", "content").agg(F.count(F.lit(1)).alias("n"), one.alias("one")), "suffix-distinct")
         copies = parts.select("d1", "d2", "grp", "content", "start", F.octet_length("data").alias("size")).join(distinct.where("n > 1").select("grp", "content").hint("merge"), ["grp", "content"])
-        spans.append(copies.select("d1", "d2", "start", "size"))
+        spans.append(materialize(copies.select("d1", "d2", "start", "size"), "suffix-copies"))
         several = materialize(distinct.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "suffix-groups")
         rows = materialize(distinct.join(several.hint("merge"), "grp").select("grp", "content", "members", "one.*"), "suffix-pieces")
     small = shards[0]
     for s in shards[1:]:
         small = small.union(s)
-    small = small.repartition(width, "grp")
-    spans.append(small.select("d1", "d2", "start", "data").mapInArrow(_sorted_shard(length), SPANS))
+    volume = small.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    small = small.repartition(width_for(docs.sparkSession, volume, SHARD), "grp")
+    spans.append(small.select("d1", "d2", "start", "data").mapInArrow(_sorted_shard(length, IN_MEMORY), SPANS))
     out = spans[0]
     for s in spans[1:]:
         out = out.union(s)

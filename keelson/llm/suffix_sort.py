@@ -5,8 +5,9 @@ leftmost S of each run (S*) are sorted first, by sorting the substrings between
 on the string of their names. Then one pass in ascending order induces the L suffixes from their successors, and one in
 descending order the S suffixes. A suffix that is taken from the queues, smallest (largest) first, sends its predecessor,
 with the length of their common prefix, to the queue of the predecessor's first character; in that queue suffixes arrive in
-order, so the priority queue is one first-in-first-out queue per character. Queues, and text and types of long strings, are
-on disk; they are worked on in blocks by array operations.
+order, so the priority queue is one first-in-first-out queue per character. Queues, and every array with an entry for each
+suffix or S*, are on disk beyond `in_memory` entries; they are worked on in blocks by array operations. Only a recursion's
+last string, of up to `base_case` names, is sorted in memory.
 
 Prefixes are compared, and counted, up to `cap` characters only; suffixes equal that far come in any order.
 """
@@ -188,10 +189,7 @@ def _induce(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, star_lcp: np
     small = text.dtype == np.uint8
     spool = Spool(in_memory)
     up = _Pass(text, kinds, spool, cap, 0, small)
-    first = text[stars]
-    # Suffixes by first character: cut once for all.
-    cuts = np.flatnonzero(np.diff(first)) + 1
-    star_of = {int(first[s]): (s, e) for s, e in zip([0, *cuts], [*cuts, len(first)], strict=True) if e > s}
+    runs = _Runs(text, stars)
     alphabet = np.unique(text).tolist() if len(text) <= in_memory or small else _distinct(text)
     larger = {c: Queue(spool) for c in alphabet} if small else defaultdict(lambda: Queue(spool))
     # The end of the text comes first: its predecessor is an L suffix.
@@ -204,14 +202,14 @@ def _induce(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, star_lcp: np
                 up.scan(block["at"], block["lcp"])
                 last = int(block["at"][-1])
             del up.queues[c]
-        if c in star_of:
-            s, e = star_of[c]
+        s, e = runs.take(c)
+        if s < e:
             for lo in range(s, e, BLOCK):
                 hi = min(e, lo + BLOCK)
-                lcp = star_lcp[lo:hi].copy()
+                lcp = np.array(star_lcp[lo:hi], np.int64)
                 if lo == s:
                     lcp[0] = _pair(text, last, int(stars[s]), cap) if small else 0
-                up.scan(stars[lo:hi], lcp)
+                up.scan(np.asarray(stars[lo:hi]), lcp)
     down = _Pass(text, kinds, spool, cap, 1, small)
     for c in reversed(alphabet):
         last = -1
@@ -232,6 +230,22 @@ def _induce(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, star_lcp: np
     spool.close()
 
 
+class _Runs:
+    """Where the S* of each first character stand among all, in order; found block by block, as characters go up."""
+
+    def __init__(self, text: np.ndarray, stars: np.ndarray):
+        self.text, self.stars, self.lo, self.at, self.first = text, stars, 0, 0, np.zeros(0, text.dtype)
+
+    def take(self, char: int) -> tuple[int, int]:
+        s = self.at
+        while True:
+            self.at = self.lo + int(np.searchsorted(self.first, char, "right"))
+            if self.at < self.lo + len(self.first) or self.at == len(self.stars):
+                return s, self.at
+            self.lo = self.at
+            self.first = self.text[np.asarray(self.stars[self.lo : self.lo + BLOCK])]
+
+
 def _distinct(text: np.ndarray) -> list[int]:
     found = np.zeros(0, text.dtype)
     for lo in range(0, len(text), BLOCK):
@@ -260,10 +274,9 @@ def _doubling(names: np.ndarray, names_needed: int) -> np.ndarray:
 def _name(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, in_memory: int) -> tuple[np.ndarray, int]:
     """Names, in text order, of the substrings from each S* to the next: equal for equal ones, and in their order."""
     # Any order of S* with equal first characters sorts the substrings between them, by induction.
-    by_char = stars[np.argsort(text[stars], kind="stable")]
+    by_char = _by_char(text, stars, in_memory)
     n = len(stars)
-    ends = np.append(stars[1:] + 1, len(text))
-    rank = np.zeros(n, np.int64)
+    rank = scratch(n, np.int64, in_memory)
     prefix = scratch(len(text) + 1, U64, in_memory)
     # A hash of a substring: sums of mixed (character, place); compared between neighbours in order only.
     power, total = U64(1), U64(0)
@@ -278,29 +291,58 @@ def _name(text: np.ndarray, kinds: np.ndarray, stars: np.ndarray, in_memory: int
     count, previous = 0, None
     inverse = pow(int(step), -1, 1 << 64)
 
+    def ends(k: np.ndarray) -> np.ndarray:
+        return np.where(k + 1 < n, stars[np.minimum(k + 1, n - 1)] + 1, len(text))
+
     def hashes(k: np.ndarray) -> np.ndarray:
         # Differences of prefixes carry the power of their start; it is divided out by its inverse.
-        start = stars[k]
-        return (prefix[ends[k]] - prefix[start]) * _power(inverse, start)
+        start = np.asarray(stars[k])
+        return (prefix[ends(k)] - prefix[start]) * _power(inverse, start)
 
     # The passes give descending order; names count down.
     star_at = scratch(len(text) + 1, np.int64, in_memory)
-    star_at[stars] = np.arange(1, n + 1)
-    for at, _ in _induce(text, kinds, by_char, np.zeros(n, np.int64), 1, in_memory):
+    for lo in range(0, n, BLOCK):
+        star_at[stars[lo : lo + BLOCK]] = np.arange(lo + 1, min(n, lo + BLOCK) + 1)
+    for at, _ in _induce(text, kinds, by_char, scratch(n, np.uint8, in_memory), 1, in_memory):
         k = star_at[at]
         k = k[k > 0] - 1
         if not len(k):
             continue
-        h, size = hashes(k), ends[k] - stars[k]
+        end = ends(k)
         # The last substring ends with the text, and equals no other.
-        size = np.where(ends[k] == len(text), -1 - k, size)
+        h, size = hashes(k), np.where(end == len(text), -1 - k, end - stars[k])
         ph, ps = np.concatenate([[previous[0]], h]) if previous else np.concatenate([h[:1], h]), np.concatenate([[previous[1]], size]) if previous else np.concatenate([[-(1 << 62)], size])
         new = (ph[1:] != ph[:-1]) | (ps[1:] != ps[:-1])
         steps = np.cumsum(new)
         rank[k] = count + steps
         count += int(steps[-1])
         previous = (h[-1], size[-1])
-    return count - rank, count
+    for lo in range(0, n, BLOCK):
+        rank[lo : lo + BLOCK] = count - rank[lo : lo + BLOCK]
+    return rank, count
+
+
+def _by_char(text: np.ndarray, stars: np.ndarray, in_memory: int) -> np.ndarray:
+    """The S* by first character, stable: a counting sort, block by block."""
+    n = len(stars)
+    if n <= in_memory:
+        return np.asarray(stars[np.argsort(text[stars], kind="stable")])
+    most = max(int(text[stars[lo : lo + BLOCK]].max()) for lo in range(0, n, BLOCK))
+    place = scratch(most + 2, np.int64, in_memory)
+    for lo in range(0, n, BLOCK):
+        char, times = np.unique(text[stars[lo : lo + BLOCK]], return_counts=True)
+        place[char.astype(np.int64) + 1] += times
+    for lo in range(1, most + 2, BLOCK):
+        place[lo : lo + BLOCK] = place[lo - 1] + np.cumsum(place[lo : lo + BLOCK])
+    out = scratch(n, np.int64, in_memory)
+    for lo in range(0, n, BLOCK):
+        own = np.asarray(stars[lo : lo + BLOCK])
+        chars = text[own].astype(np.int64)
+        order = np.argsort(chars, kind="stable")
+        char, first, times = np.unique(chars[order], return_index=True, return_counts=True)
+        out[np.repeat(place[char] - first, times) + np.arange(len(own))] = own[order]
+        place[char] += times
+    return out
 
 
 def _power(base: int, exponents: np.ndarray) -> np.ndarray:
@@ -318,37 +360,43 @@ def descending(text: np.ndarray, cap: int, in_memory: int = IN_MEMORY, base_case
     if not len(text):
         return
     kinds = types(text, in_memory)
-    found = []
-    for lo in range(0, len(text), BLOCK):
-        own = kinds[lo : lo + BLOCK]
-        left = np.concatenate([[1 if lo == 0 else kinds[lo - 1]], own[:-1]])
-        found.append(np.flatnonzero((own == 1) & (left == 0)) + lo)
-    stars = np.concatenate(found)
+    stars, to = None, 0
+    for fill in (False, True):  # counted first
+        if fill:
+            stars, to = scratch(to, np.int64, in_memory), 0
+        for lo in range(0, len(text), BLOCK):
+            own = kinds[lo : lo + BLOCK]
+            left = np.concatenate([[1 if lo == 0 else kinds[lo - 1]], own[:-1]])
+            found = np.flatnonzero((own == 1) & (left == 0))
+            if fill:
+                stars[to : to + len(found)] = found + lo
+            to += len(found)
     order = stars
     if len(stars) > 1:
         names, distinct = _name(text, kinds, stars, in_memory)
+        order = scratch(len(stars), np.int64, in_memory)
         if distinct == len(stars):
-            order = np.empty(len(stars), np.int64)
-            order[names] = stars
+            for lo in range(0, len(stars), BLOCK):
+                order[names[lo : lo + BLOCK]] = stars[lo : lo + BLOCK]
         elif len(stars) <= base_case:
-            order = stars[_doubling(names, cap)]
+            order[:] = stars[_doubling(np.asarray(names), cap)]
         else:
-            inner = scratch(len(stars), np.int64, in_memory)
-            inner[:] = names
-            order, to = scratch(len(stars), np.int64, in_memory), len(stars)
-            for at, _ in descending(inner, cap, in_memory, base_case):
+            to = len(stars)
+            for at, _ in descending(names, cap, in_memory, base_case):
                 order[to - len(at) : to] = stars[at[::-1]]
                 to -= len(at)
-    lcp = np.zeros(len(order), np.int64)
+    lcp = scratch(len(order), np.uint16, in_memory)
     if text.dtype == np.uint8:
         for lo in range(1, len(order), BLOCK):
             hi = min(len(order), lo + BLOCK)
             lcp[lo:hi] = common_prefix(text, np.asarray(order[lo - 1 : hi - 1]), np.asarray(order[lo:hi]), cap)
-    yield from _induce(text, kinds, np.asarray(order), lcp, cap, in_memory)
+    yield from _induce(text, kinds, order, lcp, cap, in_memory)
 
 
 def repeated(text: np.ndarray, length: int, in_memory: int = IN_MEMORY, base_case: int = BASE_CASE) -> np.ndarray:
     """Flags of the positions at which a string of `length` bytes starts that also starts elsewhere."""
+    if length > np.iinfo(np.uint16).max:
+        raise ValueError("common prefixes are carried in 16 bits")
     out = scratch(len(text), np.uint8, in_memory)
     before = -1
     for at, lcp in descending(text, length, in_memory, base_case):

@@ -47,12 +47,15 @@ def union_find(edges, items):
     return {i: find(i) for i in items}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1 << 20, 0])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     rng = random.Random(2)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
-    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (7, 9), (9, 7)]
+    got = [(r["id"], r["component"]) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert len(got) == len(dict(got))
     items = {x for e in edges for x in e}
-    assert {i: got.get(i, i) for i in items} == union_find(edges, items)
+    assert {i: dict(got).get(i, i) for i in items} == union_find(edges, items)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -105,6 +108,8 @@ def test_near_duplicates(spark, near_rows, monkeypatch):
 def test_near_large_families(spark, near_rows, monkeypatch):
     """Families too large for one group, and too heavy ones, give the same links."""
     monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "CONTRACT", 2)
+    monkeypatch.setattr(near_dedup, "HOT_NODES", 50)
     few = near_rows[-140:]
     sets = shingle_sets(few, 4)
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
@@ -301,6 +306,28 @@ def test_suffix_order(external, text):
     assert np.concatenate([b[1] for b in blocks]).tolist() == [0] + [prefix(text[a:], text[b:]) for a, b in zip(order, order[1:], strict=False)]
 
 
+def test_sort_beyond_memory():
+    """Of a text far larger than what a sort may hold, repeated strings are found with little memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 101, 1 << 19).astype(np.uint8)
+    for _ in range(300):
+        a, b = rng.integers(0, len(text) - 200, 2)
+        text[a : a + 150] = text[b : b + 150]
+    block, suffix_sort.BLOCK = suffix_sort.BLOCK, 1 << 13
+    try:
+        want = suffix_sort.repeated(text, 120, in_memory=1 << 26)
+        tracemalloc.start()
+        got = suffix_sort.repeated(text, 120, in_memory=1 << 13, base_case=1 << 13)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        suffix_sort.BLOCK = block
+    assert np.array_equal(got, want) and 0 < want.sum() < len(text)
+    assert peak < 8 * len(text)  # less than one array of its positions
+
+
 def brute_removed(texts, length):
     counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
