@@ -1,14 +1,20 @@
 """Quality rules by robust multivariate outliers: minimum covariance determinant for each language and source.
 
-A document's statistics become a vector of transformed ratios. For each (language, source), the minimum covariance
-determinant estimate of location and scatter comes from concentration steps over all rows: start at medians and median
-deviations, then again and again fit the nearest three quarters, and last reweight. A step is two aggregations: a histogram
-of distances gives the cut, sums below the cut give the fit; so no group meets in one task, however large. Documents whose
-Mahalanobis distance is beyond the cutoff are rejected.
+A document's statistics become a vector of transformed ratios. For each (language, source), and for all rows together, the
+minimum covariance determinant estimate of location and scatter is sought from three starts over all rows: medians with median
+deviations, and these with the correlations of tanh scores or of spatial signs. From each start, concentration steps fit the
+nearest three quarters again and again; the fit of the least determinant wins, and is reweighted. Documents whose Mahalanobis
+distance is beyond the cutoff are rejected.
+
+A step is two aggregations: a histogram of distances gives the cut, sums below the cut give the fit. The nearest part is cut
+at a 64th of an octave of the squared distance: it holds all of the nearest three quarters, and what lies up to 1.1 % farther.
+Rows are summed where they are, before anything is shuffled, so no group meets in one task, however large: fits come to them
+by a broadcast of checked size, or else by a join on group and salt.
 
 Groups with few documents use the fit over all groups. Defined cases: null text has no words and fails the base rules; null
-language and source form groups like any other value; repeated rows are judged alike; an empty table gives an empty result;
-other columns pass through `keep_documents` untouched and are not read by `judge`.
+language and source form groups like any other value; very long texts are measured in whole; repeated rows are judged alike;
+equal distances (ties) fall on one side of a cut; an empty table gives an empty result; other columns pass through
+`keep_documents` untouched, whatever their names, and are not read by `judge`.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize
@@ -37,8 +43,11 @@ LEAST_SD = (0.04, 0.12, 0.12, 0.04, 0.04, 0.05)
 COVERAGE, STEPS, LEAST_ROWS = 0.75, 3, 200
 #: The chance that a document of the fitted distribution is rejected.
 REJECT = 1e-9
-#: Distances fall in bins of a quarter of a power of two (of the squared distance).
-BINS_PER_OCTAVE = 4
+#: Distances fall in bins of a 64th of a power of two (of the squared distance).
+BINS_PER_OCTAVE = 64
+#: Fits up to so many bytes are broadcast, beyond that joined by group and one of SALTS salts.
+BROADCAST_BYTES, FIT_BYTES, SALTS = 8 << 20, 512, 64
+STARTS = 3
 
 
 def base_statistics(block: Block) -> np.ndarray:
@@ -161,26 +170,65 @@ def consistency(p: float) -> float:
     return p / chi2_cdf(chi2_quantile(p, D), D + 2)
 
 
+def regularised(scatter: np.ndarray) -> tuple[np.ndarray, float]:
+    """The inverse, and the logarithm of the determinant, of a scatter with at least the least deviations."""
+    scale = np.outer(LEAST_SD, LEAST_SD)
+    values, vectors = np.linalg.eigh(scatter / scale)
+    values = np.maximum(values, 1.0)
+    return (vectors / values) @ vectors.T / scale, float(np.log(values).sum())
+
+
+def _correlation(scatter: np.ndarray) -> np.ndarray:
+    spread = np.sqrt(np.diag(scatter))
+    out = scatter / np.maximum(np.outer(spread, spread), 1e-300)
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def starting_scatters(n: float, scale: np.ndarray, tanh: np.ndarray, tanh_squares: np.ndarray, sign_squares: np.ndarray) -> list[np.ndarray]:
+    """The scatter of each start, from sums over the n rows of a group (of rows less their medians, by `scale`)."""
+    mean = tanh / n
+    return [r * np.outer(scale, scale) for r in (np.eye(D), _correlation(tanh_squares / n - np.outer(mean, mean)), _correlation(sign_squares / n))]
+
+
+FIT = "grp string, start int, mu array<double>, inv array<double>, log_det double"
+FIT_NAMES = ["grp", "start", "mu", "inv", "log_det"]
+
+
+def _start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        out = []
+        for row in frame.itertuples(index=False):
+            square = lambda x: np.array(x).reshape(D, D)
+            for k, scatter in enumerate(starting_scatters(row.n, np.array(row.scale), np.array(row.tanh), square(row.tanh_squares), square(row.sign_squares))):
+                inv, log_det = regularised(scatter)
+                out.append((row.grp, k, list(row.mid), inv.ravel().tolist(), log_det))
+        yield pd.DataFrame(out, columns=FIT_NAMES)
+
+
 def _solve(part: float):
-    """From sums of rows to fits: location, and inverse scatter with at least the least deviations."""
-    scale, least = consistency(part), np.square(LEAST_SD)
+    """From sums of rows to fits: location, inverse scatter and its determinant."""
+    scale = consistency(part)
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                n, sums, squares = row.n, np.array(row.sums), np.array(row.squares).reshape(D, D)
-                mu = sums / n
-                scatter = (squares / n - np.outer(mu, mu)) * scale
-                values, vectors = np.linalg.eigh(scatter / np.sqrt(np.outer(least, least)))
-                inv = (vectors / np.maximum(values, 1.0)) @ vectors.T / np.sqrt(np.outer(least, least))
-                out.append((row.grp, mu.tolist(), inv.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["grp", "mu", "inv"])
+                mu = np.array(row.sums) / row.n
+                inv, log_det = regularised((np.array(row.squares).reshape(D, D) / row.n - np.outer(mu, mu)) * scale)
+                out.append((row.grp, row.start, mu.tolist(), inv.ravel().tolist(), log_det))
+            yield pd.DataFrame(out, columns=FIT_NAMES)
 
     return fit
 
 
-FIT = "grp string, mu array<double>, inv array<double>"
+def _with_fits(rows: DataFrame, fits: DataFrame, how: str = "inner") -> DataFrame:
+    """Join fits (materialized; by grp, several of one grp where there are several starts) without moving rows by group."""
+    if fits.count() * FIT_BYTES <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(fits), "grp", how)
+    salted = fits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "doc"]), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", salt).join(salted, ["grp", "__salt"], how).drop("__salt")
 
 
 def fit(stats: DataFrame) -> DataFrame:
@@ -189,42 +237,50 @@ def fit(stats: DataFrame) -> DataFrame:
     stats: grp, STATS; only rows that pass the base rules take part.
     """
     xs = [f"x{i}" for i in range(D)]
+    pair = [(i, j) for i in range(D) for j in range(D)]
     rows = stats.where(~base_failed()).select("grp", *[c.alias(x) for c, x in zip(features(), xs, strict=True)])
-    rows = materialize(rows.withColumn("grp", F.explode(F.array("grp", F.lit("")))), "quality-vectors")
-    # Medians and median deviations: a first, diagonal fit.
-    median = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(xs)])
-    median = materialize(median.where((F.col("n") >= LEAST_ROWS) | (F.col("grp") == "")), "quality-medians")
-    spread = rows.join(median, "grp").groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(xs)])
-    var = [F.greatest(F.col(f"d{i}") * 1.4826, F.lit(LEAST_SD[i])) for i in range(D)]
-    inv = F.array(*[1 / (var[i] * var[i]) if i == j else F.lit(0.0) for i in range(D) for j in range(D)])
-    fits = materialize(median.join(spread, "grp").select("grp", F.array(*[f"m{i}" for i in range(D)]).alias("mu"), inv.alias("inv")), "quality-fits")
+    rows = materialize(rows, "quality-vectors").withColumn("grp", F.explode(F.array("grp", F.lit(""))))
+    # Medians, and median deviations.
+    middle = rows.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.percentile_approx(x, 0.5, 1000) for x in xs]).alias("mid"))
+    middle = materialize(middle.where((F.col("n") >= LEAST_ROWS) | (F.col("grp") == "")), "quality-medians")
+    off = [F.col(x) - F.col("mid")[i] for i, x in enumerate(xs)]
+    spread = [F.greatest(F.percentile_approx(F.abs(o), 0.5, 1000) * 1.4826, F.lit(sd)) for o, sd in zip(off, LEAST_SD, strict=True)]
+    scales = materialize(_with_fits(rows, middle).groupBy("grp").agg(F.first("n").alias("n"), F.first("mid").alias("mid"), F.array(*spread).alias("scale")), "quality-scales")
+    z = _with_fits(rows, scales).select("grp", "n", "mid", "scale", *[(o / F.col("scale")[i]).alias(f"z{i}") for i, o in enumerate(off)])
+    z = z.withColumn("length2", F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0)), F.lit(1e-18)))
+    z = z.withColumns({f"t{i}": F.tanh(f"z{i}") for i in range(D)})
+    sums = z.groupBy("grp").agg(
+        F.first("n").alias("n"), F.first("mid").alias("mid"), F.first("scale").alias("scale"), F.array(*[F.sum(f"t{i}") for i in range(D)]).alias("tanh"),
+        F.array(*[F.sum(F.col(f"t{i}") * F.col(f"t{j}")) for i, j in pair]).alias("tanh_squares"), F.array(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}") / F.col("length2")) for i, j in pair]).alias("sign_squares"),
+    )
+    fits = materialize(sums.mapInPandas(_start, FIT), "quality-fits")
     for step in range(STEPS + 1):
-        near = rows.join(fits, "grp").select("grp", *xs, _distance().alias("d2"))
+        near = _with_fits(rows, fits).select("grp", "start", *xs, _distance().alias("d2"))
         if step < STEPS:
             part = COVERAGE
             bin_ = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-9))) * BINS_PER_OCTAVE)
-            bins = near.groupBy("grp", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-            cut = F.expr("""
-                element_at(filter(transform(b, (x, i) -> struct(x.bin AS bin, aggregate(slice(b, 1, i + 1), 0L, (s, y) -> s + y.n) AS upto)),
-                                  x -> x.upto >= c * aggregate(b, 0L, (s, y) -> s + y.n)), 1).bin""".replace(" c ", f" {part} "))
-            cuts = bins.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("b")).select("grp", cut.alias("cut"))
-            near = near.join(cuts, "grp").where(bin_ <= F.col("cut"))
+            bins = near.groupBy("grp", "start", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+            own = Window.partitionBy("grp", "start")
+            bins = bins.withColumns({"upto": F.sum("n").over(own.orderBy("bin")), "all": F.sum("n").over(own)})
+            cuts = materialize(bins.where(F.col("upto") >= part * F.col("all")).groupBy("grp", "start").agg(F.min("bin").alias("cut")), "quality-cuts")
+            cut_fits = materialize(fits.join(cuts, ["grp", "start"]), "quality-cut-fits")
+            near = _with_fits(rows, cut_fits).select("grp", "start", "cut", *xs, _distance().alias("d2")).where(bin_ <= F.col("cut"))
         else:
             part = 0.975
             near = near.where(F.col("d2") <= chi2_quantile(part, D))
-        sums = near.groupBy("grp").agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            F.array(*[F.sum(x) for x in xs]).alias("sums"),
-            F.array(*[F.sum(F.col(x) * F.col(y)) for x in xs for y in xs]).alias("squares"),
-        )
+        sums = near.groupBy("grp", "start").agg(F.count(F.lit(1)).cast("double").alias("n"), F.array(*[F.sum(x) for x in xs]).alias("sums"), F.array(*[F.sum(F.col(xs[i]) * F.col(xs[j])) for i, j in pair]).alias("squares"))
         fits = materialize(sums.mapInPandas(_solve(part), FIT), "quality-fits")
-    return fits
+        if step == STEPS - 1:
+            # Of the starts, that of the least determinant.
+            best = fits.groupBy("grp").agg(F.min(F.struct("log_det", "start", "mu", "inv")).alias("best"))
+            fits = materialize(best.select("grp", "best.start", "best.mu", "best.inv", "best.log_det"), "quality-best")
+    return fits.select("grp", "mu", "inv")
 
 
 def _verdicts(stats: DataFrame, fits: DataFrame) -> DataFrame:
     """Add base_failed, distance (squared) and kept to rows with `grp` and STATS."""
     pooled = fits.where("grp = ''").select(F.col("mu").alias("mu_all"), F.col("inv").alias("inv_all")).first()
-    own = stats.join(fits, "grp", "left")
+    own = _with_fits(stats, materialize(fits, "quality-final"), "left")
     if pooled is None:
         own = own.withColumns({"mu": F.array(*[F.lit(0.0)] * D), "inv": F.array(*[F.lit(0.0)] * D * D)})
     else:

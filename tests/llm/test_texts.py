@@ -104,6 +104,64 @@ def test_fit_is_the_covariance_of_the_near_rows(spark, corpus):
     assert all(np.linalg.eigvalsh(inv).min() > 0 for _, inv in fits.values())
 
 
+def brute_fit(x):
+    """The least determinant of three starts, in plain numpy: location and inverse scatter."""
+    n, d = x.shape
+    least = np.array(quality.LEAST_SD)
+
+    def inverse(scatter):
+        values, vectors = np.linalg.eigh(scatter / least[:, None] / least[None])
+        values = np.maximum(values, 1)
+        return vectors @ np.diag(1 / values) @ vectors.T / least[:, None] / least[None], np.log(values).sum()
+
+    def distances(mu, inv):
+        return np.einsum("ij,jk,ik->i", x - mu, inv, x - mu)
+
+    middle = lambda a: np.sort(a, axis=0)[math.ceil(n / 2) - 1]
+    mid = middle(x)
+    scale = np.maximum(1.4826 * middle(np.abs(x - mid)), least)
+    z = (x - mid) / scale
+    with np.errstate(all="ignore"):
+        by_tanh = np.nan_to_num(np.corrcoef(np.tanh(z).T))
+        signs = z / np.sqrt(np.maximum((z * z).sum(axis=1), 1e-18))[:, None]
+        by_sign = signs.T @ signs
+        by_sign = np.nan_to_num(by_sign / np.sqrt(np.outer(np.diag(by_sign), np.diag(by_sign))))
+    tried = []
+    for r in (np.eye(d), by_tanh, by_sign):
+        np.fill_diagonal(r, 1)
+        mu, (inv, _) = mid, inverse(r * np.outer(scale, scale))
+        for _ in range(quality.STEPS):
+            bins = np.floor(np.log2(np.maximum(distances(mu, inv), 1e-9)) * quality.BINS_PER_OCTAVE)
+            near = x[bins <= np.sort(bins)[math.ceil(quality.COVERAGE * n) - 1]]
+            mu = near.mean(axis=0)
+            inv, log_det = inverse((near.T @ near / len(near) - np.outer(mu, mu)) * quality.consistency(quality.COVERAGE))
+        tried.append((log_det, mu, inv))
+    _, mu, inv = min(tried, key=lambda t: t[0])
+    near = x[distances(mu, inv) <= quality.chi2_quantile(0.975, d)]
+    mu = near.mean(axis=0)
+    return mu, inverse((near.T @ near / len(near) - np.outer(mu, mu)) * quality.consistency(0.975))[0]
+
+
+def test_verdicts_by_brute_force(spark, corpus, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_ROWS", 120)
+    stats = quality.statistics(docs(spark, corpus)).cache()
+    found = stats.select("id", "grp", quality.base_failed().alias("failed"), *[f.alias(f"x{i}") for i, f in enumerate(quality.features())]).toPandas()
+    x = found[[f"x{i}" for i in range(quality.D)]].to_numpy()
+    passed = ~found["failed"].to_numpy()
+    fits = {g: brute_fit(x[passed & (found["grp"] == g).to_numpy()]) for g, n in found[passed]["grp"].value_counts().items() if n >= 120}
+    assert len(fits) > 3
+    pooled = brute_fit(x[passed])
+    cutoff = quality.chi2_quantile(1 - quality.REJECT, quality.D)
+    for broadcast in (1 << 20, 0):  # fits broadcast, or joined with salts
+        monkeypatch.setattr(quality, "BROADCAST_BYTES", broadcast)
+        out = {r["doc_id"]: r for r in quality.judge(docs(spark, corpus)).collect()}
+        for own, i, g, failed in zip(x, found["id"], found["grp"], found["failed"], strict=True):
+            mu, inv = fits.get(g, pooled)
+            d2 = (own - mu) @ inv @ (own - mu)
+            assert math.isclose(out[i]["distance"], d2, rel_tol=1e-6, abs_tol=1e-6)
+            assert out[i]["kept"] == (not failed and d2 <= cutoff)
+
+
 def test_quality_empty(spark):
     assert quality.judge(docs(spark, [])).count() == 0 and quality.keep_documents(docs(spark, [])).count() == 0
     few = quality.judge(docs(spark, [(1, "word " * 60, "a", "b"), (1, " ".join(f"w{i}" for i in range(60)), None, None)])).collect()
