@@ -6,7 +6,7 @@ among that source's slots names the block. So any prefix of the mix is close to
 
 Ranks and offsets are prefix sums in two levels (over buckets, then inside them): no window holds a whole source.
 
-Defined cases: null text has size 0; documents without words are never taken; a null source is one source, last in
+Defined cases: null text has size 0; a very long text goes through as many blocks as it covers; documents without words are never taken; a null source is one source, last in
 order; repeated rows are documents of their own; an empty table, or one without words, takes nothing; other columns of
 the input are not read.
 """
@@ -26,8 +26,8 @@ CAP = 3
 POINTS, STEP = 1 << 31, 1327217885
 #: Rows in a bucket of the first level, about; slots in one.
 BUCKET_ROWS, SLOT_ROWS = 2048, 1024
-#: The smallest target holds at least so many blocks, unless blocks would then exceed BLOCK_MAX words.
-BLOCKS_LEAST, BLOCK_MAX = 1000, 4096
+#: Words in a block.
+BLOCK = 4096
 CELL_BITS = 10
 
 
@@ -52,7 +52,7 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = C
 def schedule(sources: DataFrame, n_slots: int, block: int, cap: int = CAP) -> DataFrame:
     """sid, block, times: how often the slots of the schedule take each block of each source, at most `cap` times.
 
-    sources: sid, source_size, target.
+    sources: sid, source_size, target, and perhaps `needed`, the number of slots that each source is to have.
     """
     spark = sources.sparkSession
     share = Window.orderBy("sid")
@@ -70,7 +70,14 @@ def schedule(sources: DataFrame, n_slots: int, block: int, cap: int = CAP) -> Da
     firsts = slots.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("id")) - 1
     ranked = slots.withColumn("rank", rank).join(firsts, ["sid", "chunk"]).withColumn("rank", F.col("rank") + F.col("first"))
-    taken = ranked.where(F.col("rank") < F.col("n_blocks") * cap).withColumn("block", F.pmod("rank", "n_blocks"))
+    taken = ranked.select("sid", "rank", "n_blocks")
+    if "needed" in sources.columns:
+        had = taken.groupBy("sid").agg(F.count(F.lit(1)).alias("had"))
+        short = sources.select("sid", "needed", n_blocks.alias("n_blocks")).join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+        # Discrepancy leaves a source a few slots short, if any.
+        more = short.where("had < needed").select("sid", F.explode(F.sequence(F.col("had"), F.col("needed") - 1)).alias("rank"), "n_blocks")
+        taken = taken.join(sources.select("sid", "needed"), "sid").where("rank < needed").drop("needed").union(more)
+    taken = taken.where(F.col("rank") < F.col("n_blocks") * cap).withColumn("block", F.pmod("rank", "n_blocks"))
     return taken.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -86,7 +93,7 @@ def _offsets(rows: DataFrame, n_docs: int) -> DataFrame:
     return rows.join(bases, ["sid", "bucket"]).withColumn("start", F.col("start") + F.col("base"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, block: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, block: int = BLOCK, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken, copies, and the key of the row (`_kid`, `_kh`).
 
     taken: words of the document that the mix takes, repeats counted. copies: how often it takes the block in which the
@@ -96,21 +103,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, blo
     h = F.xxhash64(F.lit(seed), "id", "_kh")
     sized = materialize(rows.select("id", "source", "_kid", "_kh", word_count(F.col("text")).alias("size"), h.alias("h"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     sources = materialize(targets(sized, weights, cap), "mix-sources")
-    total, n_docs, least = sources.agg(F.sum("source_size"), F.sum("n_docs"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
-    total, n_docs = total or 0, n_docs or 0
-    block = block or int(max(1, min(BLOCK_MAX, (least or 0) / BLOCKS_LEAST)))
-    times = schedule(sources, round(total / block), block, cap)
-    rows = sized.alias("a").join(sources.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.sid", "b.source_size", "b.target")
+    total, n_docs = (x or 0 for x in sources.agg(F.sum("source_size"), F.sum("n_docs")).first())
+    # A source's words, as often as it is taken whole, and the rest, in slots of which the last is cut.
+    rest = F.when(F.col("source_size") > 0, F.col("quota") % F.col("source_size")).otherwise(F.lit(0))
+    whole = F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0))
+    filled = sources.withColumn("quota", F.round("target").cast("long")).withColumn("rest", rest.cast("long"))
+    filled = filled.withColumn("needed", (whole * F.ceil(F.col("source_size") / F.lit(block)) + F.ceil(F.col("rest") / F.lit(block))).cast("long"))
+    times = schedule(filled, -(-total // block), block, cap)
+    rows = sized.alias("a").join(filled.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.sid", "b.source_size", "b.target", "b.rest")
     rows = _offsets(rows, n_docs)
     end, size = F.col("start") + F.col("size"), F.lit(block)
     first, last = F.floor(F.col("start") / size), F.floor((end - 1) / size)
     cut = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     overlap = F.least(end, (F.col("block") + 1) * size) - F.greatest(F.col("start"), F.col("block") * size)
-    cut = cut.withColumn("words", overlap).withColumn("head", F.col("block") == first)
+    # The words of the last slot beyond the rest aren't taken.
+    beyond = F.greatest(F.lit(0), F.least(end, (F.col("block") + 1) * size) - F.greatest(F.col("start"), F.col("rest")))
+    beyond = F.when((F.col("rest") > F.col("block") * size) & (F.col("rest") < (F.col("block") + 1) * size), beyond).otherwise(F.lit(0))
+    cut = cut.withColumn("words", overlap).withColumn("beyond", beyond).withColumn("head", F.col("block") == first)
     cut = cut.join(times, ["sid", "block"], "left")
     out = cut.groupBy("row", "id", "source", "_kid", "_kh", "size", "source_size", "target").agg(
-        F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"),
-        F.coalesce(F.max(F.when(F.col("head"), F.col("times"))), F.lit(0)).cast("long").alias("copies"),
+        F.coalesce(F.sum(F.col("words") * F.col("times") - F.col("beyond")), F.lit(0)).cast("long").alias("taken"),
+        F.coalesce(F.max(F.when(F.col("head"), F.col("times") - (F.col("beyond") >= F.col("words")).cast("int"))), F.lit(0)).cast("long").alias("copies"),
     )
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", "copies", "_kid", "_kh")
 

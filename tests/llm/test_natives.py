@@ -203,6 +203,21 @@ def test_mix_edges(spark):
     assert sum(r["taken"] for r in one) == 7 and all(r["taken"] == r["size"] for r in one)
 
 
+def test_a_tiny_source_changes_no_block(spark, corpus):
+    """One more source, of one word, leaves the number of slots as it is, and every source is filled to the word."""
+    more = corpus.unionByName(docs(spark, (10**6, "w", "~tiny"), (10**6 + 1, "w " * 30_000, "~~long")))
+    out = mixing.mix(more).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in out:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in brute_targets(dict(sizes)).items()) and sum(taken.values()) <= sum(sizes.values()) + len(sizes)
+    for block in (1, 7, 500):
+        again = mixing.mix(more, block=block).groupBy("source").agg(F.sum("taken").alias("n")).collect()
+        assert {r["source"]: r["n"] for r in again} == taken
+
+
 def test_mixed_documents(corpus):
     out = mixing.mixed(corpus)
     assert out.columns == corpus.columns
