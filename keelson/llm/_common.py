@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.internals import size_in_bytes
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,6 +37,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles that nothing refers to any more removed now, rather than when the driver runs out of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """About how many bytes of text there are: twice the files' size, as these are compressed, or else a count."""
+    estimate = 2 * size_in_bytes(docs)
+    if estimate < 1 << 50:
+        return estimate
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
 def width_for(spark: SparkSession, volume: int, most: int = 64 << 20) -> int:
     """How many partitions to deal `volume` bytes to by a key: the shuffle partitions, or more if these would hold over `most`."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(volume) // most))

@@ -28,8 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.internals import size_in_bytes
-from ._common import materialize, width_for
+from ._common import materialize, text_bytes, width_for
 
 #: A slab ends at so many pre-tokens, or distinct ones; pre-tokens given to the library at once.
 SLAB_TOKENS, SLAB_DISTINCT, BATCH = 1 << 22, 400_000, 8192
@@ -146,10 +145,10 @@ def _slabs(path: str, *sizes: int):
             nonlocal own, held, special
             slab, n = next(number), len(special)
             dictionary, coded = own.parts()
-            ids, sizes = pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])
+            ids, n_bytes = pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])
             for s in range(0, n, 4096):
                 k = min(n - s, 4096)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(slab, pa.int64()), k), pa.nulls(k, pa.int32()), ids.slice(s, k), sizes.slice(s, k), pa.array(special[s : s + k], pa.int64()), pa.array(coded[s : s + k], pa.binary())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(slab, pa.int64()), k), pa.nulls(k, pa.int32()), ids.slice(s, k), n_bytes.slice(s, k), pa.array(special[s : s + k], pa.int64()), pa.array(coded[s : s + k], pa.binary())], names=NAMES)
             k = len(dictionary)
             yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(slab, pa.int64()), k), pa.array([b for b, _ in dictionary], pa.int32()), pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([p for _, p in dictionary], pa.binary())], names=NAMES)
             own, held, special = Dictionary(*sizes), [], []
@@ -220,7 +219,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     path, spark = _vocabulary(vocabulary), docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    width = width_for(spark, min(size_in_bytes(docs), 1 << 60))
+    width = width_for(spark, text_bytes(docs, text_col))
     parts = materialize(rows.mapInArrow(_slabs(path, 4 * width, SLAB_TOKENS, SLAB_DISTINCT), PARTS.format(id=kind)), "pretokens")
     dictionaries = parts.where("bucket IS NOT NULL").select("slab", "bucket", "packed").repartition(width, "bucket").sortWithinPartitions("bucket")
     counts = dictionaries.mapInArrow(_pieces(path), "slab bigint, bucket int, packed binary")
