@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -19,22 +21,48 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where that is unset (single machine)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where that is unset and all is on one machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="keelson-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
     return "file://" + _own_dirs[app]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    `discard` removes a table that nothing will read again, `clean_up` all of an application.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keelson/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/keelson/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.keelson_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables. No frame that is still to be evaluated may depend on them."""
+    for df in tables:
+        if path := getattr(df, "keelson_path", None):
+            _delete(df.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that this application has materialized, once its results are written."""
+    _delete(spark, f"{shared_dir(spark)}/keelson/{spark.sparkContext.applicationId}")
 
 
 def release(spark: SparkSession) -> None:
@@ -65,20 +93,39 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _key(id_: Column, text: Column) -> list[Column]:
+    """`_kid`, `_kh`: a key of a row by its content, null-safe; only repeated rows share it."""
+    return [F.coalesce(id_.cast("string"), F.lit("null")).alias("_kid"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_kh")]
+
+
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add `_kid`, `_kh`: a key of a row by its content, null-safe; only repeated rows share it."""
-    return docs.withColumns({"_kid": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_kh": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    """Add the key of each row. For selections of the operators' own, whose names don't clash."""
+    return docs.select("*", *_key(F.col(id_col), F.col(text_col)))
 
 
 def attach(docs: DataFrame, decisions: DataFrame, value: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Join each row of `docs` with its own `value` in `decisions` (`_kid`, `_kh`, value); repeated rows get one value each.
+    """`doc` (a row of `docs`, as a struct, so that no name can clash) with its own `value` in `decisions` (`_kid`, `_kh`, value).
 
-    Neither side relies on row numbers of an earlier scan, which change when the cluster does.
+    Rows without a decision are dropped. Repeated rows (of one id and text) get one value each. Neither side relies on row
+    numbers of an earlier scan, which change when the cluster does. Where repeated rows differ in their values, equal ones are
+    counted before they meet, so that however many there are make one row.
     """
-    per_key = decisions.groupBy("_kid", "_kh").agg(F.sort_array(F.collect_list(value), asc=False).alias("_values"))
-    rank = F.row_number().over(Window.partitionBy("_kid", "_kh").orderBy(F.lit(1)))
-    out = with_key(docs, id_col, text_col).join(per_key.hint("merge"), ["_kid", "_kh"]).withColumn("_rank", rank)
-    return out.withColumn(value, F.get("_values", F.col("_rank") - 1)).drop("_kid", "_kh", "_values", "_rank")
+    key = ["_kid", "_kh"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_key(F.col(id_col), F.col(text_col)))
+    entries = decisions.groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"))
+    per_key = materialize(entries.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(value, "n")), asc=False).alias("values")), "decisions")
+    both = rows.join(per_key.hint("merge"), key)
+    alike = both.where(F.size("values") == 1).select("doc", F.col("values")[0][value].alias(value))
+    if per_key.where(F.size("values") > 1).isEmpty():
+        return alike
+    counted = both.where(F.size("values") > 1).groupBy("doc", *key, "values").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*key).orderBy(F.xxhash64("doc")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # Value number i goes to the rows from upto(i - 1) to upto(i), in order.
+    upto = "aggregate(slice(values, 1, i), 0L, (s, x) -> s + x.n)"
+    share = F.expr(f"transform(values, (v, i) -> struct(v.{value} AS {value}, greatest(0L, least({upto} + v.n, `from` + n) - greatest({upto}, `from`)) AS times))")
+    each = counted.select("doc", F.explode(share).alias("share")).where("share.times > 0")
+    return alike.union(each.select("doc", F.col(f"share.{value}").alias(value), F.explode(F.sequence(F.lit(1).cast("long"), F.col("share.times")))).select("doc", value))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

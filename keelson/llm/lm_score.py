@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, text_bytes, width_for
 from ._text import BASE, GOLD, U64, mix
 from .sentencepiece_codec import MARK, Pieces
 from .token_count import _vocabulary
@@ -297,7 +297,7 @@ def score(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", scores: str
     known = materialize(counts.mapInArrow(_probabilities(path, scores, weight), "word string, c bigint, log_p double"), "lm-words")
     rated = of_words.select("slab", "lid", "word").join(known.hint("merge"), "word").select("slab", "lid", F.col("c").alias("n"), "log_p", F.lit(None).cast(of_docs.schema["id"].dataType).alias("id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("codes"))
     both = rated.unionByName(of_docs.select("slab", "lid", "n", F.lit(None).cast("double").alias("log_p"), "id", "held_out", "codes"))
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = width_for(docs.sparkSession, text_bytes(docs, text_col), 16 << 20)
     both = both.repartition(width, "slab").sortWithinPartitions("slab", F.col("lid").asc_nulls_last())
     smoothing = math.log10(n + v + 1)
 

@@ -130,6 +130,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, blo
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix of whole documents: each row of `docs` as often as the schedule takes the block in which it starts."""
-    copies = mix(docs, weights, cap, id_col=id_col, text_col=text_col, source_col=source_col).where("copies > 0")
-    out = attach(docs, copies.select("_kid", "_kh", F.col("copies").alias("_copies")), "_copies", id_col, text_col).where("_copies > 0")
-    return out.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    found = mix(docs, weights, cap, id_col=id_col, text_col=text_col, source_col=source_col)
+    out = attach(docs, found.select("_kid", "_kh", "copies"), "copies", id_col, text_col).where("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

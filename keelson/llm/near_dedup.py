@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import attach, materialize, width_for, with_key
+from ._common import attach, discard, materialize, width_for, with_key
 from ._text import GOLD, U64, Block, as_bytes, blocks, mix, prefix_hashes, shingles, span_hashes
 from .components import components
 
@@ -359,7 +359,9 @@ def _descend(members: DataFrame, links: DataFrame | None, k: int, percent: int,
             below = walked.where("a IS NULL").select(*columns)
             if hot is not None and not hot.isEmpty():
                 below = below.union(members.join(F.broadcast(hot), "node").select(*columns).mapInArrow(_passed, OUT).select(*columns))
-            members = materialize(below, f"near-members-{label}")
+            passed = materialize(below, f"near-members-{label}")
+            discard(members)
+            members = passed
         else:
             members = _contract(members, found, width, k, percent, label)
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a bigint, b bigint")
@@ -453,5 +455,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near-duplicates, with all columns."""
-    stays = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where("stays")
-    return attach(docs, stays.select("_kid", "_kh", F.col("stays").alias("_stays")), "_stays", id_col, text_col).where("_stays").drop("_stays")
+    found = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col)
+    return attach(docs, found.select("_kid", "_kh", "stays"), "stays", id_col, text_col).where("stays").select("doc.*")

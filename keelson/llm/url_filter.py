@@ -4,7 +4,7 @@ Rules decide the urls they fit. Every other url gets its host's verdict: persona
 with allowed pages along host links, and distrust from hosts with blocked pages against them (who links to bad hosts is
 suspect); a host is blocked where distrust makes up too large a part of both.
 
-Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; null html has no
+Defined cases: very long pages and urls are read in whole; a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; null html has no
 links; repeated page ids are judged row by row; an empty table gives an empty result; other columns are not read.
 """
 
@@ -35,8 +35,9 @@ class Rule:
 
 
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
-#: PageRank: follow a link with DAMPING, for ROUNDS steps; lineage is cut after each CUT steps.
-DAMPING, ROUNDS, CUT = 0.85, 12, 4
+#: PageRank: follow a link with DAMPING; lineage is cut after each CUT steps, and the steps end when no more than TOLERANCE of
+#: the seeds' mass is still under way: after 44 at most.
+DAMPING, CUT, TOLERANCE = 0.85, 4, 1e-3
 #: A host is blocked if distrust is at least this part of trust and distrust.
 BLOCK_SHARE = 0.75
 #: The host of an absolute or protocol-relative link; other links stay on their host.
@@ -66,22 +67,27 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return edges.where((F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, cut: int = CUT) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, cut: int = CUT, rounds: int | None = None) -> DataFrame:
     """host, trust, distrust: personalised PageRank from `seeds` (host, trust, distrust), as the sum of its first powers.
 
     Trust follows edges (src, dst, n) from source to target, distrust from target to source; both in one join a round.
-    What reaches a host without a way on stays there, so scores sum to at most the seeds' sum.
+    rounds: so many steps, whatever is left. What reaches a host without a way on stays there, so scores sum to at most the seeds' sum.
     """
     ways = edges.select(F.lit(True).alias("good"), F.col("src").alias("at"), F.col("dst").alias("to"), "n").union(edges.select(F.lit(False), "dst", "src", "n"))
     out = ways.groupBy("good", "at").agg(F.sum("n").alias("all_n"))
     ways = materialize(ways.join(out, ["good", "at"]).select("good", "at", "to", (F.col("n") / F.col("all_n") * damping).alias("p")), "ways")
     mass = seeds.select(F.lit(True).alias("good"), "host", F.col("trust").alias("v")).union(seeds.select(F.lit(False), "host", "distrust"))
     mass = mass.where("v > 0").withColumn("v", F.col("v") * (1 - damping))
-    parts = [mass]
-    for i in range(1, rounds + 1):
+    parts, i = [mass], 0
+    left = start = seeds.agg(F.sum(F.col("trust") + F.col("distrust"))).first()[0] or 0.0
+    while left > tolerance * start if rounds is None else i < rounds:
+        i += 1
         step = mass.withColumnRenamed("host", "at").join(ways, ["good", "at"]).groupBy("good", F.col("to").alias("host")).agg(F.sum(F.col("v") * F.col("p")).alias("v"))
         mass = materialize(step, "mass") if i % cut == 0 else step
         parts.append(mass)
+        if i % cut == 0:
+            # What a step has put on hosts is (1 - damping) of what it carries.
+            left = (mass.agg(F.sum("v")).first()[0] or 0.0) / (1 - damping)
     total = reduce(DataFrame.unionAll, parts).groupBy("host")
     # Rounded to 13 digits of its own, however small: scores get smaller as the graph grows, and a verdict must not depend on that.
     score = lambda good: F.format_string("%.12e", F.coalesce(F.sum(F.when(good, F.col("v"))), F.lit(0.0))).cast("double")

@@ -4,11 +4,13 @@ import hashlib
 import uuid
 from collections import defaultdict
 from math import isclose
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import exact_dedup, mixing, url_filter
+from keelson.llm import exact_dedup, mixing, near_dedup, url_filter
+from keelson.llm._common import attach, discard, materialize, shared_dir, with_key
 from keelson.llm.url_filter import Rule
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, kept string, row int"
@@ -65,6 +67,57 @@ def test_persistent_index(spark):
     again.drop()
 
 
+def test_a_repeated_batch_gives_the_same(spark):
+    """A call that failed after its append and runs again finds its own entries, and keeps the same rows."""
+    index = exact_dedup.DigestIndex(spark, f"index_{uuid.uuid4().hex}", buckets=2)
+    exact_dedup.deduplicated(docs(spark, (1, "old", "s")), index, batch="one").collect()
+    rows = docs(spark, (2, "old", "s"), (3, "new", "s"), (4, "NEW", "s"), (5, "other", "s"))
+    kept = [sorted(r["doc_id"] for r in exact_dedup.deduplicated(rows.repartition(n), index, batch="two").collect()) for n in (1, 3)]
+    assert kept == [[4, 5], [4, 5]] and index.entries().count() == 3
+    index.compact()
+    assert index.entries().count() == 3 and sorted(r["doc_id"] for r in exact_dedup.deduplicated(rows, index, batch="two").collect()) == [4, 5]
+    assert exact_dedup.deduplicated(rows, index, batch="three").count() == 0
+    index.drop()
+
+
+def test_names_of_the_input_are_kept(spark):
+    """Columns named like those that operators use within."""
+    names = ["doc_id", "text", "lang", "source", "_kid", "_kh", "_values", "_rank", "_kept", "_stays", "_copies", "doc", "values", "kept", "stays", "copies", "n"]
+    df = spark.createDataFrame([(i, f"some words {i // 2}", "en", "s", *[f"{c}{i}" for c in names[4:]]) for i in range(6)], names)
+    for f in (exact_dedup.deduplicated, near_dedup.deduplicated, mixing.mixed):
+        out = f(df)
+        assert out.columns == names and out.count() and all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in names[4:])
+
+
+def test_repeated_rows_share_their_values(spark):
+    """Of rows with one id and text, as many get each value as there are decisions with it; other columns may differ."""
+    df = spark.createDataFrame([(1, "a", k % 2) for k in range(7)] + [(2, "b", 0)] * 3 + [(3, "c", 0)], "doc_id long, text string, x int")
+    keyed = with_key(df.select("doc_id", "text")).select("_kid", "_kh")
+    own = lambda i: keyed.where(f"_kid = '{i}'")
+    decisions = own(1).limit(4).withColumn("v", F.lit(2)).union(own(1).limit(3).withColumn("v", F.lit(0))).union(own(2).withColumn("v", F.lit(5)))
+    out = attach(df, decisions, "v").select("doc.*", "v").collect()
+    assert sorted((r["doc_id"], r["v"]) for r in out) == [(1, 0)] * 3 + [(1, 2)] * 4 + [(2, 5)] * 3
+    assert sorted(r["x"] for r in out if r["doc_id"] == 1) == [0] * 4 + [1] * 3
+
+
+def test_shared_folder(spark):
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    table = materialize(spark.range(3), "test")
+    assert table.count() == 3 and table.keelson_path.startswith(shared_dir(spark))
+    discard(table)
+    assert not Path(table.keelson_path.removeprefix("file:")).exists()
+
+
 def test_dedup_stays_native(spark):
     plan = exact_dedup.dedup(docs(spark, (1, "a", "s")))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))

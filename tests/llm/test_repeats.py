@@ -181,7 +181,7 @@ def test_chains(matches):
     score = 5.0
     for (px, py), (x, y) in zip(found[0], found[0][1:], strict=False):
         score += min(5, x - px, y - py) - 0.05 * ((x - px) + (y - py))
-    assert score <= quadratic_chain(matches, 5, 0.05) + 1e-9
+    assert abs(score - quadratic_chain(matches, 5, 0.05)) < 1e-9
 
 
 @settings(max_examples=60, deadline=None)
@@ -248,6 +248,58 @@ def test_turns():
     assert passage_chains.turns(np.array([0, 0, 0, 1, 1, 1]), np.array([5, 7, 5, 5, 5, 5])).tolist() == [0, 0, 1, 0, 1, 2]
 
 
+def test_postings():
+    rng = np.random.default_rng(2)
+    own = passage_chains.Postings(rng.integers(-9, 9, 500), rng.integers(0, 99, 500), rng.integers(-5, 5, 500)).by_text()
+    back = passage_chains.Postings.unpack(own.pack())
+    assert all(np.array_equal(getattr(own, x), getattr(back, x)) for x in ("d", "place", "seed"))
+    got = sorted(zip(*(v.tolist() for v in passage_chains.hub_matches(own.by_seed())), strict=True))
+    want = []
+    places = defaultdict(lambda: defaultdict(set))
+    for d, place, seed in zip(own.d.tolist(), own.place.tolist(), own.seed.tolist(), strict=True):
+        places[seed][d].add(place)
+    for texts in places.values():
+        hub = min(texts)
+        for d in texts:
+            if d != hub:
+                want += [(hub, d, x, y) for i, x in enumerate(sorted(texts[hub])) for j, y in enumerate(sorted(texts[d])) if i == 0 or j == 0 or i == j]
+    assert got == sorted(want)
+    near = passage_chains.Postings(np.array([1] * 4 + [2] * 3), np.array([0, 5, 60, 100, 0, 10, 14]), np.arange(7))
+    assert passage_chains.clusters(near, 5).tolist() == [False] * 4 + [False] * 3
+    near.place[6] = 15
+    assert passage_chains.clusters(near, 5).tolist() == [False] * 4 + [True] * 3
+
+
+def test_lanes_of_a_hot_seed_meet():
+    """Texts with a hot seed, dealt over lanes, are linked by the lanes' hubs and these by one."""
+    hot = passage_chains.Postings(np.arange(2000), np.zeros(2000, np.int64), np.full(2000, 7))
+    cold = passage_chains.Postings(np.arange(3000, 3010), np.zeros(10, np.int64), np.full(10, 7))
+    assert (passage_chains._lanes(hot, 70) == 6).all() and (passage_chains._lanes(cold, 70) == -1).all()
+    batches = [b for n in range(4) for b in passage_chains._dealt(hot.take(np.arange(500 * n, 500 * n + 500)), np.full(500, 7), 8, np.full(500, n))]
+    pairs, left = [], list(passage_chains._dealt(cold, cold.seed, 8))
+    for round_ in (batches, left):
+        for out in list(passage_chains._hubs(8)(iter(list(round_)))):
+            for lane, packed in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
+                if lane is None:
+                    pairs.append(np.frombuffer(packed, "<i8").reshape(4, -1)[:2])
+                else:
+                    left += passage_chains._dealt(own := passage_chains.Postings.unpack(packed), own.seed, 8)
+    pairs = np.concatenate(pairs, axis=1)
+    assert pairs.shape[1] < 2100
+    assert len(set(union_find(list(zip(*pairs.tolist(), strict=True)), [*range(2000), *range(3000, 3010)]).values())) == 1
+
+
+def test_passages_of_copies_and_long_texts(spark):
+    rng = random.Random(6)
+    one, long = words(rng, 60, 10**6), words(rng, 60_000, 10**6)
+    rows = [(1, " ".join(long)), (2, " ".join([*words(rng, 30, 10**6), *long[40_000:40_050], *words(rng, 30, 10**6)])), (5, " ".join(one)), (3, " ".join(one)), (3, " ".join(one)), (None, " ".join(one)), (7, "short one"), (8, "short one")]
+    rows += [(20 + i, " ".join(["common line of a dozen words that stands in very many of them all"] + words(rng, 50, 10**6))) for i in range(300)]
+    out = {(r["doc_id"], r["other_doc_id"]): r for r in passage_chains.shared_passages(docs(spark, rows)).collect()}
+    copies = {(5, 3), (None, 3)}
+    assert copies <= set(out) and len(out) == 3 and set(out) - copies <= {(1, 2), (2, 1)}
+    assert all(out[p]["common_words"] == 60 and out[p]["identity"] == 1.0 for p in copies)
+
+
 def test_passages_that_a_hub_holds_in_part(spark):
     """Texts that quote a part of a passage, too short to be one, don't hide the passage from its other documents."""
     rng = random.Random(21)
