@@ -26,16 +26,23 @@ DISK_SPEED = 50 * MIB
 QUANTILES = {"run_time_ms": (0.25, 0.5, 0.75, 1.0), "scheduler_delay_ms": (0.5, 0.95), "deser_ms": (0.95,), "result_ser_ms": (0.95,), "result_bytes": (0.95,), "fetch_wait_ms": (0.5,)}
 
 
-def rank_quantile(values: Column, q: float) -> Column:
-    """Element min(int(q n), n - 1) of a sorted array, as Spark's own summaries have it."""
-    n = F.size(values)
-    return F.get(values, F.least(F.floor(n * F.lit(q)), n - 1).cast("int"))
+def task_quantiles(tasks: DataFrame) -> DataFrame:
+    """A row per stage attempt: <metric>_<percent> for each quantile of QUANTILES.
 
+    A quantile q of n values is number min(int(q n), n - 1) in their order, as Spark's own summaries have it. Values are
+    counted, and the counts summed in order, so that no stage's tasks meet in one row.
+    """
+    stage = ["stage_id", "attempt_id"]
+    values = tasks.select(*stage, *[F.col(m).cast("double").alias(m) for m in QUANTILES]).unpivot(stage, list(QUANTILES), "metric", "value")
+    values = values.groupBy(*stage, "metric", "value").agg(F.count("value").alias("n"))
+    own = Window.partitionBy(*stage, "metric")
+    values = values.withColumns({"upto": F.sum("n").over(own.orderBy("value")), "all": F.sum("n").over(own)})
 
-def task_quantiles(tasks: DataFrame) -> DataFrame:
-    """A row per stage attempt: <metric>_<percent> for each quantile of QUANTILES."""
-    sorted_ = tasks.groupBy("stage_id", "attempt_id").agg(*[F.sort_array(F.collect_list(m)).alias(m) for m in QUANTILES])
-    return sorted_.select("stage_id", "attempt_id", *[rank_quantile(F.col(m), q).alias(f"{m}_{int(q * 100)}") for m, qs in QUANTILES.items() for q in qs])
+    def quantile(metric: str, q: float) -> Column:
+        place = F.least(F.floor(F.col("all") * F.lit(q)), F.col("all") - 1) + 1
+        return F.min(F.when((F.col("metric") == metric) & (F.col("upto") >= place), F.col("value")))
+
+    return values.groupBy(*stage).agg(*[quantile(m, q).alias(f"{m}_{int(q * 100)}") for m, qs in QUANTILES.items() for q in qs])
 
 
 def latest_attempts(stages: DataFrame) -> DataFrame:
@@ -189,6 +196,11 @@ def retries_view(stages: DataFrame) -> DataFrame:
     return stages.groupBy("stage_id").agg(F.count(F.lit(1)).alias("attempts"), F.max("num_tasks").alias("num_tasks")).where("attempts > 1").orderBy(F.desc("attempts"), "stage_id")
 
 
+def broadcast_view(broadcasts: DataFrame, s: IssueSettings) -> DataFrame:
+    """Broadcast tables by size, with those that are an issue."""
+    return broadcasts.select("name", "bytes", F.round(F.col("bytes") / MIB, 1).alias("mib"), (F.col("bytes") >= s.broadcast_size_mb * MIB).alias("large")).orderBy(F.desc("bytes"), "name")
+
+
 def executor_view(executors: DataFrame) -> DataFrame:
     """Executors by heap peak, with the band that a page colours: high from 0.9 of the most memory, raised from 0.7."""
     used = _ratio(F.col("peak_jvm_heap"), F.col("max_memory"))

@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import MIB, SuggestionSettings
@@ -113,5 +114,22 @@ def _partitions(run, plan, writes, inputs, partitions, s):
 RULES = (_broadcast, _shuffles, _adaptive, _cartesian, _format, _pruning, _python, _repeated, _collect, _partitions)
 
 
+def suggest_rows(executions: DataFrame, shuffle_partitions: int, settings: SuggestionSettings | None = None) -> DataFrame:
+    """Suggestions for many queries. executions: execution_id, plan, shuffle_write and input_bytes (arrays, by stage), issue_titles."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for x in frame.itertuples(index=False):
+                whole = lambda values: dict(enumerate(map(int, values if values is not None else ())))
+                titles = frozenset(x.issue_titles if x.issue_titles is not None else ())
+                found = suggest(Execution(x.execution_id, x.plan, frozenset(), whole(x.shuffle_write), whole(x.input_bytes), titles), shuffle_partitions, settings)
+                out += [(f.severity, f.execution_id, f.title, f.description, f.recommendation, f.savings_ms, f.savings_type) for f in found]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SUGGESTIONS.split(", ")]).astype({"savings_ms": "Int64"})
+
+    columns = ("execution_id", "plan", "shuffle_write", "input_bytes", "issue_titles")
+    return executions.select(*columns).mapInPandas(run, SUGGESTIONS)
+
+
 def suggestions_frame(spark: SparkSession, found: Sequence[Suggestion]) -> DataFrame:
     return spark.createDataFrame([(x.severity, x.execution_id, x.title, x.description, x.recommendation, x.savings_ms, x.savings_type) for x in found], SUGGESTIONS)

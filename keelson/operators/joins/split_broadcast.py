@@ -33,7 +33,7 @@ class SplitBroadcastConfig:
     max_splits: int = 16
     cache_result: bool = True
     cache_large_side: bool = True
-    initial: int | None = 1
+    initial: int | None = None
 
 
 def parsed_size(error: BaseException) -> int | None:
@@ -45,6 +45,12 @@ def parsed_size(error: BaseException) -> int | None:
     return None
 
 
+def known_size(df: DataFrame) -> int:
+    """The optimizer's estimate, or rows by the width of their types where it has none."""
+    size = size_in_bytes(df)
+    return size if size < 1 << 50 else df.count() * int(df._jdf.schema().defaultSize())
+
+
 def next_splits(current: int, error: BaseException, budget_bytes: int) -> int:
     size = parsed_size(error)
     return current * 2 if size is None else max(math.ceil(size / budget_bytes), current * 2)
@@ -70,7 +76,7 @@ def split_join(large: DataFrame, small: DataFrame, keys: Sequence[str], how: str
 def split_broadcast_join(large: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", config: SplitBroadcastConfig | None = None) -> DataFrame:
     """Join by split broadcast, with more parts after each failure."""
     config = config or SplitBroadcastConfig()
-    splits = config.initial or max(1, math.ceil(size_in_bytes(small) / config.budget_bytes))
+    splits = config.initial or max(1, math.ceil(known_size(small) / config.budget_bytes))
     held = large.cache() if config.cache_large_side else large
     last: BaseException | None = None
     try:

@@ -45,8 +45,8 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 # -- Diff: orders against a changed copy ----------------------------------------------------------------------------------
 
-MUTATED = """(SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 20 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate,
-    CASE WHEN o_orderkey % 60 = 1 THEN 'x' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 50 <> 0
+MUTATED = """(SELECT CASE WHEN o_orderkey % 50 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 20 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate,
+    CASE WHEN o_orderkey % 60 = 1 THEN 'x' ELSE o_orderpriority END AS o_orderpriority FROM orders 
   UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 40 = 3)"""
 DIFFERS = "(l.o_totalprice IS DISTINCT FROM r.o_totalprice OR l.o_orderpriority IS DISTINCT FROM r.o_orderpriority OR l.o_custkey IS DISTINCT FROM r.o_custkey OR l.o_orderstatus IS DISTINCT FROM r.o_orderstatus OR l.o_orderdate IS DISTINCT FROM r.o_orderdate)"
 ADDED = f"SELECT r.* FROM {MUTATED} r ANTI JOIN orders l ON l.o_orderkey = r.o_orderkey"
@@ -59,7 +59,7 @@ SUMMARY = f"SELECT (SELECT count(*) FROM ({ADDED})) AS added, (SELECT count(*) F
 
 def mutated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o, k = t(spark, d, "orders"), F.col("o_orderkey")
-    changed = o.where(k % 50 != 0).withColumns({"o_totalprice": F.when(k % 20 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "o_orderpriority": F.when(k % 60 == 1, F.lit("x")).otherwise(F.col("o_orderpriority"))})
+    changed = o.withColumns({"o_orderkey": F.when(k % 50 == 0, -k - 1).otherwise(k), "o_totalprice": F.when(k % 20 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "o_orderpriority": F.when(k % 60 == 1, F.lit("x")).otherwise(F.col("o_orderpriority"))})
     return o, changed.unionByName(o.where(k % 40 == 3).withColumn("o_orderkey", k + 10_000_000))
 
 
@@ -93,20 +93,20 @@ def diff_limited(spark: SparkSession, d: str) -> DataFrame:
     return diff(left, right, DiffConfig(["o_orderkey"])).added
 
 
-@query("""WITH a AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY ALL)
+@query("""WITH a AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_partkey, l_suppkey, count(CASE WHEN l_orderkey % 7 <> 0 THEN 1 END) AS n FROM lineitem GROUP BY ALL)
     SELECT a.l_partkey, a.l_suppkey, a.n AS left_n, b.n AS right_n FROM a JOIN b USING (l_partkey, l_suppkey) WHERE a.n <> b.n""")
 def diff_composite_key(spark: SparkSession, d: str) -> DataFrame:
     li = t(spark, d, "lineitem")
-    count = lambda df: df.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    return diff(count(li), count(li.where("l_orderkey % 7 <> 0")), DiffConfig(["l_partkey", "l_suppkey"], limit=None)).changed.drop("changed_columns")
+    count = lambda c: li.groupBy("l_partkey", "l_suppkey").agg(F.count(c).alias("n"))
+    return diff(count(F.lit(1)), count(F.when(F.col("l_orderkey") % 7 != 0, 1)), DiffConfig(["l_partkey", "l_suppkey"], limit=None)).changed.drop("changed_columns")
 
 
-@query("""WITH a AS (SELECT nullif(c_nationkey, 3) AS k, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT nullif(c_nationkey, 3) AS k, count(*) AS n FROM customer WHERE c_custkey % 10 <> 0 GROUP BY 1)
+@query("""WITH a AS (SELECT nullif(c_nationkey, 3) AS k, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT nullif(c_nationkey, 3) AS k, count(CASE WHEN c_custkey % 10 <> 0 THEN 1 END) AS n FROM customer GROUP BY 1)
     SELECT a.k, a.n AS left_n, b.n AS right_n FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k WHERE a.n <> b.n""")
 def diff_null_keys(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "customer").withColumn("k", F.expr("nullif(c_nationkey, 3)"))
-    count = lambda df: df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    return diff(count(c), count(c.where("c_custkey % 10 <> 0")), DiffConfig(["k"], limit=None), "hash").changed.drop("changed_columns")
+    count = lambda one: c.groupBy("k").agg(F.count(one).alias("n"))
+    return diff(count(F.lit(1)), count(F.when(F.col("c_custkey") % 10 != 0, 1)), DiffConfig(["k"], limit=None), "hash").changed.drop("changed_columns")
 
 
 @query("SELECT event_id FROM events WHERE event_id % 11 = 0")
@@ -122,13 +122,17 @@ def diff_timestamp_micros(spark: SparkSession, d: str) -> DataFrame:
 HOW = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "full": "FULL JOIN", "left_semi": "SEMI JOIN", "left_anti": "ANTI JOIN"}
 
 
+#: Every row takes part; some get a key that the other side lacks.
+LEFT_KEY, RIGHT_KEY = "CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END", "CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 100000000 ELSE c_custkey END"
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = t(spark, d, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_totalprice", F.col("o_custkey").alias("k"))
-    return o, t(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"), "c_name")
+    o = t(spark, d, "orders").select("o_orderkey", "o_totalprice", F.expr(LEFT_KEY).alias("k"))
+    return o, t(spark, d, "customer").select(F.expr(RIGHT_KEY).alias("k"), "c_name")
 
 
 def _joined(how: str) -> str:
-    left, right = "(SELECT o_orderkey, o_totalprice, o_custkey AS k FROM orders WHERE o_orderkey % 3 <> 0)", "(SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 4 <> 0)"
+    left, right = f"(SELECT o_orderkey, o_totalprice, {LEFT_KEY} AS k FROM orders)", f"(SELECT {RIGHT_KEY} AS k, c_name FROM customer)"
     if how in ("left_semi", "left_anti"):
         return f"SELECT k, o_orderkey, o_totalprice FROM {left} l {HOW[how]} {right} r USING (k)"
     return f"SELECT k, o_orderkey, o_totalprice, c_name FROM {left} l {HOW[how]} {right} r USING (k)"
@@ -177,9 +181,12 @@ def split_broadcast_escalating(spark: SparkSession, d: str) -> DataFrame:
     return split_broadcast_join(_lines(spark, d), _parts(spark, d), ["k"], "inner", SplitBroadcastConfig(budget_bytes=16 << 20, cache_result=False, cache_large_side=False, initial=None)).drop("k")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem SEMI JOIN (SELECT p_partkey FROM part WHERE p_size < 10) p ON l_partkey = p.p_partkey")
+SMALL_PART = "CASE WHEN p_size < 10 THEN p_partkey ELSE -p_partkey END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem SEMI JOIN (SELECT {SMALL_PART} AS k FROM part) p ON l_partkey = p.k")
 def split_broadcast_semi(spark: SparkSession, d: str) -> DataFrame:
-    return split_join(_lines(spark, d), _parts(spark, d).where("p_size < 10"), ["k"], "left_semi", 4).drop("k")
+    return split_join(_lines(spark, d), t(spark, d, "part").select(F.expr(SMALL_PART).alias("k")), ["k"], "left_semi", 4).drop("k")
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
@@ -187,13 +194,13 @@ def split_broadcast_cross(spark: SparkSession, d: str) -> DataFrame:
     return split_join(t(spark, d, "nation").select("n_name"), t(spark, d, "region").select("r_name"), [], "cross", 2)
 
 
-PAIRS = "(SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey % 2 = {} GROUP BY ALL)"
+PAIRS = "(SELECT l_partkey, l_suppkey, {} AS n FROM lineitem GROUP BY ALL)"
 
 
-@query(f"SELECT l_partkey, l_suppkey, a.n AS n_even, b.n AS n_odd FROM {PAIRS.format(0)} a JOIN {PAIRS.format(1)} b USING (l_partkey, l_suppkey)")
+@query(f"SELECT l_partkey, l_suppkey, a.n AS n_lines, b.n AS most FROM {PAIRS.format('count(*)')} a JOIN {PAIRS.format('max(l_quantity)')} b USING (l_partkey, l_suppkey)")
 def split_broadcast_multikey(spark: SparkSession, d: str) -> DataFrame:
-    count = lambda r, c: t(spark, d, "lineitem").where(f"l_orderkey % 2 = {r}").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias(c))
-    return split_join(count(0, "n_even"), count(1, "n_odd"), ["l_partkey", "l_suppkey"], "inner", 4)
+    of = lambda c: t(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(c)
+    return split_join(of(F.count(F.lit(1)).alias("n_lines")), of(F.max("l_quantity").alias("most")), ["l_partkey", "l_suppkey"], "inner", 4)
 
 
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey")
@@ -214,6 +221,20 @@ def _suppliers(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
 
 
+#: A fifth of the suppliers get a key that no line has.
+SUPPLIER_KEY = "CASE WHEN s_suppkey % 5 = 3 THEN -s_suppkey ELSE s_suppkey END"
+
+
+def _some_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "supplier").select(F.expr(SUPPLIER_KEY).alias("k"), "s_name")
+
+
+@query(f"SELECT k FROM {HOT_LINES} GROUP BY k HAVING count(*) >= (SELECT greatest(10 * quantile_disc(freq, 0.5), 100) FROM (SELECT count(*) AS freq FROM {HOT_LINES} GROUP BY k))")
+def hot_keys_by_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Found on half of the rows; nine tenths of all have the hot key, so any such sample finds it and no other."""
+    return hot_keys(_hot_lines(spark, d), ["k"], sample_fraction=0.5).select("k")
+
+
 @query(f"WITH c AS (SELECT k, count(*) AS freq FROM {HOT_LINES} GROUP BY k) SELECT k, freq FROM c WHERE freq >= (SELECT greatest(10 * quantile_disc(freq, 0.5), 100) FROM c)", "hot_keys")
 def _hot_keys(spark: SparkSession, d: str) -> DataFrame:
     return hot_keys(_hot_lines(spark, d), ["k"], sample_fraction=1.0)
@@ -221,18 +242,19 @@ def _hot_keys(spark: SparkSession, d: str) -> DataFrame:
 
 _AUTO = AutoSaltConfig(sample_fraction=1.0, cache_result=False)
 for _how, _side in (("inner", "l"), ("left", "l"), ("right", "r")):
-    _sql = f"SELECT k, l_orderkey, l_linenumber, s_name FROM {HOT_LINES} l {HOW[_how]} (SELECT s_suppkey AS k, s_name FROM supplier WHERE s_suppkey % 5 <> 3) s USING (k)"
-    query(_sql, f"salt_{_how}")(lambda s, d, h=_how: auto_salt_join(_hot_lines(s, d), _suppliers(s, d).where("k % 5 <> 3"), ["k"], h, _AUTO))
+    _sql = f"SELECT k, l_orderkey, l_linenumber, s_name FROM {HOT_LINES} l {HOW[_how]} (SELECT {SUPPLIER_KEY} AS k, s_name FROM supplier) s USING (k)"
+    query(_sql, f"salt_{_how}")(lambda s, d, h=_how: auto_salt_join(_hot_lines(s, d), _some_suppliers(s, d), ["k"], h, _AUTO))
 
 
-@query(f"SELECT k, l_orderkey, l_linenumber, s_name FROM (SELECT s_suppkey AS k, s_name FROM supplier WHERE s_suppkey % 5 <> 3) s RIGHT JOIN {HOT_LINES} l USING (k)")
+@query(f"SELECT k, l_orderkey, l_linenumber, s_name FROM (SELECT {SUPPLIER_KEY} AS k, s_name FROM supplier) s RIGHT JOIN {HOT_LINES} l USING (k)")
 def salt_right_preserved(spark: SparkSession, d: str) -> DataFrame:
-    return auto_salt_join(_suppliers(spark, d).where("k % 5 <> 3"), _hot_lines(spark, d), ["k"], "right", _AUTO)
+    return auto_salt_join(_some_suppliers(spark, d), _hot_lines(spark, d), ["k"], "right", _AUTO)
 
 
 @query(f"SELECT k, l_orderkey, l_linenumber, s_name FROM {HOT_LINES} l JOIN (SELECT s_suppkey AS k, s_name FROM supplier) s USING (k)")
 def salt_uniform(spark: SparkSession, d: str) -> DataFrame:
-    return salted_join(_hot_lines(spark, d), _suppliers(spark, d), ["k"], salt_factor=4)
+    # By a sort-merge join, as of two large sides, so that the salted shuffle is what runs.
+    return salted_join(_hot_lines(spark, d), _suppliers(spark, d).hint("merge"), ["k"], salt_factor=4)
 
 
 @query(f"SELECT k, l_orderkey, l_linenumber, s_name FROM (SELECT l_orderkey, l_linenumber, nullif({HOT}, 7) AS k FROM lineitem) l LEFT JOIN (SELECT nullif(s_suppkey, 9) AS k, s_name FROM supplier) s USING (k)")
@@ -442,18 +464,112 @@ def view_gc(spark: SparkSession, d: str) -> DataFrame:
     return I.view("gc", _stages(spark, d), spark.createDataFrame([], I.TASKS)).drop("name")
 
 
+_PAGES = {
+    "stragglers": ("TASK", "r50 AS run_time_ms_50, r75 AS run_time_ms_75, r100 AS run_time_ms_100"),
+    "small_tasks": ("TASK", "n::INT AS num_tasks, r50 AS run_time_ms_50, s50 AS scheduler_delay_ms_50"),
+    "large_result": ("TASK", "n::INT AS num_tasks, b95 AS result_bytes_95"),
+    "fetch_wait": ("TASK", "r50 AS run_time_ms_50, f50 AS fetch_wait_ms_50"),
+    "deserialization": ("TASK", "n::INT AS num_tasks, d95::DOUBLE AS deser_ms_95"),
+    "scheduler_delay": ("TASK", "s50 AS scheduler_delay_ms_50, s95 AS scheduler_delay_ms_95, r50 AS run_time_ms_50"),
+    "slow_serialization": ("TASK", "n::INT AS num_tasks, e95::DOUBLE AS result_ser_ms_95"),
+    "spill": ("STAGE", "mem_spill_bytes, disk_spill_bytes, remote_bytes_to_disk"),
+    "under_partitioned": ("STAGE", "num_tasks, run_time_ms"),
+    "amplification": ("STAGE", "input_bytes, shuffle_write_bytes"),
+    "failures": ("STAGE", "num_tasks, num_failed, avg_ms::BIGINT AS avg_task_ms"),
+    "speculative": ("STAGE", "num_tasks, num_speculative, avg_ms::BIGINT AS avg_task_ms"),
+    "low_cpu": ("STAGE", "run_time_ms, cpu_time_ns"),
+    "disk_read": ("STAGE", "shuffle_read_bytes, remote_bytes_to_disk"),
+}
+for _page, (_table, _columns) in _PAGES.items():
+    if _table == "TASK":
+        query(f"SELECT stage_id, {_columns} FROM {QUANTILE_SQL}", f"view_{_page}")(lambda s, d, p=_page: I.view(p, _task_stages(s, d), _tasks(s, d)).drop("name"))
+    else:
+        query(f"SELECT stage_id, {_columns} FROM {STAGE_TABLE}", f"view_{_page}")(lambda s, d, p=_page: I.view(p, _stages(s, d), s.createDataFrame([], I.TASKS)).drop("name"))
+
+
+@query("SELECT o_orderkey::INT % 100 AS stage_id, count(*) AS attempts, max(o_orderkey::INT % 7) AS num_tasks FROM orders GROUP BY 1 HAVING count(*) > 1")
+def view_retries(spark: SparkSession, d: str) -> DataFrame:
+    return I.retries_view(t(spark, d, "orders").selectExpr("CAST(o_orderkey AS int) % 100 AS stage_id", "CAST(o_orderkey AS int) % 7 AS num_tasks"))
+
+
+@query("SELECT c_name AS executor_id, c_custkey AS peak_jvm_heap, 1400::BIGINT AS max_memory, round(c_custkey / 1400.0, 4)::DOUBLE AS used, CASE WHEN c_custkey / 1400.0 >= 0.9 THEN 'high' WHEN c_custkey / 1400.0 >= 0.7 THEN 'raised' ELSE 'normal' END AS band FROM customer")
+def view_executors(spark: SparkSession, d: str) -> DataFrame:
+    return I.executor_view(t(spark, d, "customer").selectExpr("c_name AS executor_id", "c_custkey AS peak_jvm_heap", "1400L AS max_memory"))
+
+
+@query("SELECT p_name AS name, p_size * 10485760::BIGINT AS bytes, round(p_size * 10.0, 1)::DOUBLE AS mib, p_size >= 20 AS large FROM part")
+def view_broadcasts(spark: SparkSession, d: str) -> DataFrame:
+    return I.broadcast_view(t(spark, d, "part").selectExpr("p_name AS name", "CAST(p_size AS long) * 10485760 AS bytes"), IssueSettings())
+
+
 # -- Decisions, plans and advice: text in, rows out; tests hold them against fixtures ---------------------------------------
 
 
-@query("""SELECT * FROM (VALUES (5, 5000, false, 'none'), (40, 80, false, 'none'), (40, 4000, false, 'SPLIT_BROADCAST(t, 4)'), (25, 5000, false, 'SPLIT_BROADCAST(t, 3)'), (250, 5000, false, 'SALT(t, 16)'),
-    (40, 80, true, 'SPLIT_BROADCAST(t, 4)'), (5, 5, true, 'none')) x(small_mb, large_mb, forced, advice)""")
+#: Sizes in MiB of the sides of a join, for each order, and whether the advice is forced.
+SIDES = ("o_custkey % 400", "o_custkey % 400 * (o_orderkey % 30)", "o_orderkey % 11 = 0")
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN s < 10 OR (NOT f AND g < s * 10) THEN 'none' WHEN s <= 100 THEN 'SPLIT_BROADCAST(t, ' || greatest(2, ceil(s / 10.0)::INT) || ')' ELSE 'SALT(t, 16)' END AS advice
+    FROM (SELECT o_orderkey, {SIDES[0]} AS s, {SIDES[1]} AS g, {SIDES[2]} AS f FROM orders)""")
 def advisor_skew_strategy(spark: SparkSession, d: str) -> DataFrame:
     from .autofix.advisor import skew_strategy
 
     mb = 1 << 20
-    cases = [(5, 5000, False), (40, 80, False), (40, 4000, False), (25, 5000, False), (250, 5000, False), (40, 80, True), (5, 5, True)]
-    rows = [(s, g, f, h.render() if (h := skew_strategy("t", s * mb, g * mb, 10 * mb, 100 * mb, 10.0, 16, f)) else "none") for s, g, f in cases]
-    return spark.createDataFrame(rows, "small_mb int, large_mb int, forced boolean, advice string")
+
+    def run(frames):
+        for x in frames:
+            advice = [h.render() if (h := skew_strategy("t", s * mb, g * mb, 10 * mb, 100 * mb, 10.0, 16, f)) else "none" for s, g, f in zip(x["s"].tolist(), x["g"].tolist(), x["f"].tolist(), strict=True)]
+            yield x[["o_orderkey"]].assign(advice=advice)
+
+    return t(spark, d, "orders").selectExpr("o_orderkey", f"{SIDES[0]} AS s", f"{SIDES[1]} AS g", f"{SIDES[2]} AS f").mapInPandas(run, "o_orderkey long, advice string")
+
+
+@query("""SELECT o_orderkey, CASE WHEN b <= 0 THEN 'none' WHEN p / w >= 3 THEN 'COALESCE(' || w::BIGINT || ')' WHEN p / w <= 0.33 THEN 'REPARTITION(' || w::BIGINT || ')' ELSE 'none' END AS advice
+    FROM (SELECT o_orderkey, b, p, greatest(1, b // 128) AS w FROM (SELECT o_orderkey, o_custkey * (o_orderkey % 40) AS b, 1.0 + o_orderkey % 300 AS p FROM orders))""")
+def advisor_partitions(spark: SparkSession, d: str) -> DataFrame:
+    from .autofix.advisor import partition_advice
+
+    mb = 1 << 20
+
+    def run(frames):
+        for x in frames:
+            advice = [h.render() if (h := partition_advice(b * mb, p, 128 * mb)) else "none" for b, p in zip(x["b"].tolist(), x["p"].tolist(), strict=True)]
+            yield x[["o_orderkey"]].assign(advice=advice)
+
+    return t(spark, d, "orders").selectExpr("o_orderkey", "o_custkey * (o_orderkey % 40) AS b", "1 + o_orderkey % 300 AS p").mapInPandas(run, "o_orderkey long, advice string")
+
+
+#: Plans of executions: each event is one, of the plan numbered by its id, with these metrics.
+PLANS = (
+    "SortMergeJoin [a#1], [b#2], Inner\n:- Exchange hashpartitioning(a#1, 200)\n:  +- FileScan parquet t[a#1] PartitionFilters: [], PushedFilters: [IsNotNull(a)]\n+- Exchange hashpartitioning(b#2, 200)\n   +- FileScan csv u[b#2]",
+    "AdaptiveSparkPlan isFinalPlan=true\n+- HashAggregate(keys=[a#1])\n   +- Exchange hashpartitioning(a#1, 200)\n      +- FileScan json t[a#1]",
+    "CartesianProduct\n:- FileScan parquet t[a#1] Location: InMemoryFileIndex[file:/t]\n+- FileScan parquet t[a#3] Location: InMemoryFileIndex[file:/t]",
+    "CollectLimit 10\n+- BatchEvalPython [f(a#1)]\n   +- FileScan parquet t[a#1]",
+)
+WRITES, READS = "event_id % 40 * 1048576 * (event_id % 3)", "event_id % 5000 * 1048576"
+_P, _W, _R, _T = "event_id % 4", f"({WRITES})", f"({READS})", "'{}' AS title"
+#: For each title: when it is suggested, and how severely.
+SUGGESTED = (
+    ("Broadcast Join Candidate", f"{_P} = 0 AND {_W} BETWEEN 1 AND 104857600", f"CASE WHEN {_W} < 10485760 THEN 'Critical' ELSE 'Warning' END"),
+    ("AQE Not Enabled", f"{_P} = 0", "CASE WHEN event_id % 7 = 0 THEN 'Warning' ELSE 'Info' END"),
+    ("Cartesian Product", f"{_P} = 2", "'Critical'"),
+    ("Suboptimal File Format", f"{_P} IN (0, 1)", "'Info'"),
+    ("Missing Partition Pruning", f"{_P} = 0 AND {_R} >= 104857600", "'Warning'"),
+    ("Python UDF Detected", f"{_P} = 3", "'Warning'"),
+    ("Repeated Table Scan", f"{_P} = 2", "'Warning'"),
+    ("Collect on Large Dataset", f"{_P} = 3 AND {_R} >= 104857600", f"CASE WHEN {_R} > 1073741824 THEN 'Critical' ELSE 'Warning' END"),
+    ("Shuffle Partition Tuning", f"{_P} = 0 AND {_W} > 0", "'Warning'"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT event_id AS execution_id, {_T.format(title)}, {severity} AS severity FROM events WHERE {when}" for title, when, severity in SUGGESTED))
+def suggestions_by_execution(spark: SparkSession, d: str) -> DataFrame:
+    from .analysis.suggestions import suggest_rows
+
+    plan = F.element_at(F.array(*[F.lit(p) for p in PLANS]), (F.col("event_id") % 4 + 1).cast("int"))
+    titles = F.when(F.col("event_id") % 7 == 0, F.array(F.lit("Data Skew"))).otherwise(F.array().cast("array<string>"))
+    runs = t(spark, d, "events").select(F.col("event_id").alias("execution_id"), plan.alias("plan"), F.array(F.expr(WRITES)).alias("shuffle_write"), F.array(F.expr(READS)).alias("input_bytes"), titles.alias("issue_titles"))
+    return suggest_rows(runs, 200).select("execution_id", "title", "severity")
 
 
 @query("SELECT * FROM (VALUES (1, 'optimizing', 1000, 1000, 'BROADCAST(s)'), (2, 'optimizing', 1000, 500, 'BROADCAST(s), REPARTITION(8)'), (3, 'converged', 1000, 500, 'BROADCAST(s)')) x(run, status, baseline_ms, best_ms, pending)")

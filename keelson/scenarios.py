@@ -105,6 +105,36 @@ def slow_queries(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [many, rows.crossJoin(small).limit(10), rows.join(rows.withColumnRenamed("k", "k2"), "id")]
 
 
+def auto_fix(spark: SparkSession, folder: str, rows: int = 20_000_000, small: int = 3_000_000, runs: int = 4) -> list[dict]:
+    """A join with nineteen rows of twenty on one key, run again and again under the tuning loop, without adaptive execution
+    or broadcasts of Spark's own. A row per run: its hints and milliseconds, and the profile's status and best time."""
+    from .autofix.loop import AutoFix
+    from .config import AutoFixSettings
+    from .plans.apply import plan_fingerprint
+    from .sources.profile_store import ProfileStore
+
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    for k, v in fixed.items():
+        spark.conf.set(k, v)
+    try:
+        spark.range(rows).select(_mostly(F.lit(0), 95).alias("k"), F.col("id").alias("v")).createOrReplaceTempView("keelson_fact")
+        spark.range(small).select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("name")).createOrReplaceTempView("keelson_dim")
+        query = "SELECT count(*) AS n, max(d.name) AS most FROM keelson_fact f JOIN keelson_dim d ON f.k = d.k"
+        loop = AutoFix(spark, AutoFixSettings(enabled=True, mode="auto"), ProfileStore.at(spark, folder))
+        out = []
+        for i in range(runs):
+            hints, began = loop.prepare(query)[2], time.monotonic()
+            loop.run(query)
+            taken = round((time.monotonic() - began) * 1000)
+            profile = loop.store.load(plan_fingerprint(spark.sql(query)))
+            out.append({"run": i + 1, "hints": [h.render() for h in hints], "ms": taken, "status": profile.status, "best_ms": profile.best_ms})
+        return out
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 SCENARIOS: dict[str, Callable[[SparkSession], int]] = {
     "skew": skew, "straggler": straggler, "gc": gc, "spill": spill, "broadcast": broadcast, "smalltasks": small_tasks, "failures": failures, "lowcpu": low_cpu, "scheddelay": scheduler_delay,
     "slowser": slow_serialization, "rc-skew": root_cause_skew, "rc-memory": root_cause_memory, "rc-instability": root_cause_instability,
