@@ -156,17 +156,17 @@ def test_near_deduplicated(spark):
 # -- Fuzzy passages -------------------------------------------------------------------------------------------------------
 
 
-def quadratic_chain(matches, k, gap):
+def quadratic_chain(matches, worth, gap):
     """The best score of any chain, in quadratic time."""
     matches, score = sorted(set(matches)), []
     for j, (x, y) in enumerate(matches):
-        best = float(k)
+        best = worth
         for i in range(j):
             px, py = matches[i]
             if px < x and py < y:
                 gain = score[i] - gap * ((x - px) + (y - py))
                 if gain > 0:
-                    best = max(best, gain + min(k, x - px, y - py))
+                    best = max(best, worth + gain)
         score.append(best)
     return max(score)
 
@@ -174,14 +174,14 @@ def quadratic_chain(matches, k, gap):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=40))
 def test_chains(matches):
-    found = passage_chains.chains(matches, 5, 1, 0.05)
+    found = passage_chains.chains(matches, 1, 0.05, 4.0)
     assert all(a[0] < b[0] and a[1] < b[1] for c in found for a, b in zip(c, c[1:], strict=False))
     flat = [m for c in found for m in c]
     assert len(flat) == len(set(flat)) == len(set(matches))
-    score = 5.0
+    score = 4.0
     for (px, py), (x, y) in zip(found[0], found[0][1:], strict=False):
-        score += min(5, x - px, y - py) - 0.05 * ((x - px) + (y - py))
-    assert abs(score - quadratic_chain(matches, 5, 0.05)) < 1e-9
+        score += 4.0 - 0.05 * ((x - px) + (y - py))
+    assert abs(score - quadratic_chain(matches, 4.0, 0.05)) < 1e-9
 
 
 @settings(max_examples=60, deadline=None)
