@@ -7,8 +7,9 @@ segment. Equal strings have the same anchor at the same place. Then
 
 1. segments whose anchor occurs once in the corpus hold no repeated string, and are dropped unseen;
 2. equal segments are counted: all strings of a segment that occurs twice are repeated (copies, and the inside of passages);
-3. the different segments of an anchor, one of each, go to the anchor's shard, where strings with a common prefix of
-   `length` bytes stand next to each other in suffix order.
+3. the different segments of an anchor, one of each, go to the anchor's shard. Those that agree with another in enough bytes
+   before or after the anchor are sorted, so that strings with a common prefix of `length` bytes stand next to each other in
+   suffix order.
 
 Anchors with more than `GROUP` different segments (the edges of a passage that very many documents share) are split first:
 strings are dealt anew by narrower places of the anchor in them and by the bytes that all strings of such a part share, and
@@ -140,28 +141,61 @@ def joined(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def _sorted_shard(length: int, in_memory: int):
+def sides(group: int, data: bytes, place: int, reach: int, seed: int) -> tuple[int, int]:
+    """Hashes of the `reach` bytes before and after a piece's anchor, with its group; 0 where there are not so many."""
+    before = hash((group, 0, data[place - reach : place])) if place >= reach else 0
+    after = data[place + seed : place + seed + reach]
+    return before, hash((group, 1, after)) if len(after) == reach else 0
+
+
+def hopeful(keys: np.ndarray) -> np.ndarray:
+    """Which pieces have one of their two keys in common with another."""
+    out = np.zeros(len(keys), bool)
+    for own in keys.T:
+        _, at, times = np.unique(own, return_inverse=True, return_counts=True)
+        out |= (times[at] > 1) & (own != 0)
+    return out
+
+
+def _sorted_shard(length: int, seed: int, in_memory: int):
     """Repeated strings of a shard's pieces, as spans of their documents.
 
+    A string that two pieces hold has the anchor at one place in both, so they agree in half of the other bytes, rounded up,
+    just before or just after it. Pieces for which no other does are not sorted.
+
     Only the pieces' keys are held; their bytes, and all that the sort makes of them beyond `in_memory` entries, are on disk.
     """
+    reach = -(-(length - seed) // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes = [], []
-        with tempfile.TemporaryFile() as file:
+        with tempfile.TemporaryFile() as whole, tempfile.TemporaryFile() as file:
+            around, ends = [], [0]
             for batch in batches:
-                for s in range(0, batch.num_rows, 1024):
-                    part = batch.slice(s, 1024)
-                    text, own = joined(part.column(3))
-                    file.write(text.data)
-                    sizes.append(own)
-                    keys.append([part.column(i).to_numpy() for i in range(3)])
-            if not keys:
+                for data, group, place in zip(batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                    data = data.as_py()
+                    whole.write(data)
+                    ends.append(ends[-1] + len(data))
+                    around.append(sides(group, data, place, reach, seed))
+                keys.append([batch.column(i).to_numpy() for i in range(3)])
+            if not around:
+                return
+            chosen = np.flatnonzero(hopeful(np.array(around, np.int64)))
+            if not len(chosen):
                 return
+            del around
+            for lo in range(0, len(chosen), 1024):
+                parts = []
+                for k in chosen[lo : lo + 1024].tolist():
+                    whole.seek(ends[k])
+                    parts.append(whole.read(ends[k + 1] - ends[k]))
+                text, own = joined(pa.array(parts, pa.binary()))
+                file.write(text.data)
+                sizes.append(own)
             file.flush()
             text = np.memmap(file, np.uint8, "r")
-        sizes, (d1, d2, at) = np.concatenate(sizes), (np.concatenate([k[i] for k in keys]) for i in range(3))
-        del keys
+        sizes, (d1, d2, at) = np.concatenate(sizes), (np.concatenate([k[i] for k in keys])[chosen] for i in range(3))
+        del keys, ends
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])
         flags = repeated(text, length, in_memory)
         lo = 0
@@ -217,7 +251,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
     rows = materialize(rows.dropDuplicates(["grp", "content"]), "suffix-pieces")
     shards = []
     while True:
-        shards.append(rows.where(F.col("members") <= GROUP).select("d1", "d2", "start", "data", "grp"))
+        shards.append(rows.where(F.col("members") <= GROUP).select("d1", "d2", "start", "data", "grp", "place"))
         large = rows.where(F.col("members") > GROUP)
         if large.isEmpty():
             break
@@ -233,7 +267,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
         small = small.union(s)
     volume = small.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     small = small.repartition(width_for(docs.sparkSession, volume, SHARD), "grp")
-    spans.append(small.select("d1", "d2", "start", "data").mapInArrow(_sorted_shard(length, IN_MEMORY), SPANS))
+    spans.append(small.select("d1", "d2", "start", "data", "grp", "place").mapInArrow(_sorted_shard(length, seed, IN_MEMORY), SPANS))
     out = spans[0]
     for s in spans[1:]:
         out = out.union(s)
