@@ -554,7 +554,7 @@ SUGGESTED = (
     ("AQE Not Enabled", f"{_P} = 0", "CASE WHEN event_id % 7 = 0 THEN 'Warning' ELSE 'Info' END"),
     ("Cartesian Product", f"{_P} = 2", "'Critical'"),
     ("Suboptimal File Format", f"{_P} IN (0, 1)", "'Info'"),
-    ("Missing Partition Pruning", f"{_P} = 0 AND {_R} >= 104857600", "'Warning'"),
+    ("Missing Partition Pruning", f"{_P} = 0 AND {_R} >= 1073741824", "'Warning'"),
     ("Python UDF Detected", f"{_P} = 3", "'Warning'"),
     ("Repeated Table Scan", f"{_P} = 2", "'Warning'"),
     ("Collect on Large Dataset", f"{_P} = 3 AND {_R} >= 104857600", f"CASE WHEN {_R} > 1073741824 THEN 'Critical' ELSE 'Warning' END"),
