@@ -595,9 +595,45 @@ def suggestions_of_plan(spark: SparkSession, d: str) -> DataFrame:
     return suggestions_frame(spark, suggest(Execution(1, formatted_plan(plan), frozenset({1}), {1: 5 << 20}, {1: 2 << 30}), 200))
 
 
-@query()
-def config_advice(spark: SparkSession, d: str) -> DataFrame:
-    from .analysis.config_advice import advise, recommendations_frame
+#: Applications: nations. Each customer is an issue of its nation's: of a title by number where this holds, else one that no
+#: rule asks for.
+ISSUE_TITLES = ("GC Pressure", "Shuffle Spill", "Straggler Tasks", "High Shuffle Fetch Wait", "Disk Shuffle Read", "Task Failures", "Stage Retry", "Slow Result Serialization", "High Task Deserialization")
+APP_ISSUE = ("c_custkey % 9", "(c_nationkey + c_custkey % 9) % 4 < 2", "CASE WHEN c_acctbal > 9000 AND c_nationkey % 2 = 0 THEN 'Critical' ELSE 'Warning' END", "c_custkey % 1000")
+APP_SETTINGS = {
+    "spark.memory.offHeap.enabled": ("true", 4), "spark.memory.fraction": ("0.4", 5), "spark.serializer": ("org.apache.spark.serializer.KryoSerializer", 6), "spark.speculation": ("true", 2), "spark.shuffle.service.enabled": ("true", 3),
+}
+_SET = lambda key: f"app % {APP_SETTINGS[key][1]} = 0"
+_HAS = lambda *at: "(" + " OR ".join(f"coalesce(m[{i}], -1) >= 0" for i in at) + ")"
+_SAVES = lambda *at: "(" + " + ".join(f"coalesce(m[{i}], 0)" for i in at) + ")"
+#: Key, title, when, severity, savings; m: the savings of each title that occurs, by its number; worst: of the first.
+CONFIG_RULES = (
+    ("spark.shuffle.spill.numElementsForceSpillThreshold", "Spill large buffers earlier", _HAS(0), "worst", _SAVES(0)),
+    ("spark.memory.offHeap.enabled", "Move execution memory off the heap", f"{_HAS(0)} AND NOT {_SET('spark.memory.offHeap.enabled')}", "worst", _SAVES(0)),
+    ("spark.executor.memory", "Give executors more memory", f"worst = 'Critical' AND NOT {_HAS(1)}", "'Critical'", _SAVES(0)),
+    ("spark.executor.memory", "Give executors more memory, to spill less", _HAS(1), "'Warning'", _SAVES(1)),
+    ("spark.memory.fraction", "Raise the memory fraction", f"{_HAS(1)} AND {_SET('spark.memory.fraction')}", "'Warning'", _SAVES(1)),
+    ("spark.serializer", "Serialize by Kryo", f"{_HAS(0, 7, 8)} AND NOT {_SET('spark.serializer')}", f"CASE WHEN {_HAS(7, 8)} THEN 'Warning' ELSE 'Info' END", f"nullif({_SAVES(7, 8)}, 0)"),
+    ("spark.speculation", "Run slow tasks twice", f"{_HAS(2)} AND NOT {_SET('spark.speculation')}", "'Warning'", _SAVES(2)),
+    ("spark.reducer.maxSizeInFlight", "Fetch more shuffle data at once", _HAS(3), "'Warning'", _SAVES(3)),
+    ("spark.shuffle.service.enabled", "Use the external shuffle service", f"{_HAS(3)} AND NOT {_SET('spark.shuffle.service.enabled')}", "'Info'", "NULL"),
+    ("spark.maxRemoteBlockSizeFetchToMem", "Keep fetched blocks in memory", _HAS(4), "'Warning'", _SAVES(4)),
+    ("spark.executor.memory", "Give executors more memory, to fail less", _HAS(5, 6), "'Warning'", f"nullif({_SAVES(5, 6)}, 0)"),
+)
+_FOUND = f"""(SELECT app, map(list(t), list(ms)) AS m, CASE WHEN bool_or(t = 0 AND critical) THEN 'Critical' WHEN bool_or(t = 0) THEN 'Warning' ELSE 'Info' END AS worst FROM
+    (SELECT c_nationkey AS app, CASE WHEN {APP_ISSUE[1]} THEN {APP_ISSUE[0]} ELSE -1 END AS t, sum({APP_ISSUE[3]})::BIGINT AS ms, bool_or({APP_ISSUE[2]} = 'Critical') AS critical FROM customer GROUP BY 1, 2) GROUP BY app)"""
 
-    found = stage_issues(spark, d).groupBy("severity", "title").agg(F.sum("savings_ms").alias("savings_ms")).collect()  # a row per kind of issue
-    return recommendations_frame(spark, advise([r.asDict() for r in found], {}))
+
+@query(
+    "SELECT app, config_key, severity, title, savings_ms FROM (SELECT *, row_number() OVER (PARTITION BY app, config_key ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'Warning' THEN 1 ELSE 2 END, place) AS r FROM ("
+    + " UNION ALL ".join(f"SELECT app, {i} AS place, '{key}' AS config_key, {severity} AS severity, '{title}' AS title, {saves}::BIGINT AS savings_ms FROM {_FOUND} WHERE {when}" for i, (key, title, when, severity, saves) in enumerate(CONFIG_RULES))
+    + ")) WHERE r = 1"
+)
+def config_advice(spark: SparkSession, d: str) -> DataFrame:
+    from .analysis.config_advice import advise_rows
+
+    c = t(spark, d, "customer").withColumn("app", F.col("c_nationkey"))
+    title = F.element_at(F.array(*[F.lit(x) for x in ISSUE_TITLES]), (F.expr(APP_ISSUE[0]) + 1).cast("int"))
+    title = F.when(F.expr(APP_ISSUE[1]), title).otherwise(F.lit("Data Skew"))
+    found = c.select("app", F.expr(APP_ISSUE[2]).alias("severity"), title.alias("title"), F.expr(APP_ISSUE[3]).alias("savings_ms"))
+    set_ = F.map_filter(F.create_map(*[x for k, (v, n) in APP_SETTINGS.items() for x in (F.lit(k), F.when(F.col("app") % n == 0, F.lit(v)))]), lambda k, v: v.isNotNull())
+    return advise_rows(found, c.select("app").distinct().withColumn("properties", set_)).select("app", "config_key", "severity", "title", "savings_ms")
