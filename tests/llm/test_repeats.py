@@ -281,7 +281,7 @@ def test_lanes_of_a_hot_seed_meet():
         for out in list(passage_chains._hubs(8)(iter(list(round_)))):
             for lane, packed in zip(out.column(0).to_pylist(), out.column(2).to_pylist(), strict=True):
                 if lane is None:
-                    pairs.append(np.frombuffer(packed, "<i8").reshape(4, -1)[:2])
+                    pairs.append(passage_chains.unpack_matches(packed)[:2])
                 else:
                     left += passage_chains._dealt(own := passage_chains.Postings.unpack(packed), own.seed, 8)
     pairs = np.concatenate(pairs, axis=1)
