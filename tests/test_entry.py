@@ -39,7 +39,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["diff_changed_hash", "diff_summary", "diff_null_keys", "join_resilient_full", "split_broadcast_semi", "salt_null_keys", "hint_targeted_salt", "issue_skew", "root_causes_tasks", "stage_savings"])
+@pytest.mark.parametrize("name", ["diff_changed_hash", "diff_summary", "diff_null_keys", "join_resilient_full", "split_broadcast_semi", "salt_null_keys", "hint_targeted_salt", "issue_skew", "root_causes_tasks", "stage_savings", "view_stragglers", "view_executors", "advisor_partitions", "suggestions_by_execution", "config_advice"])
 def test_oracle(spark, duck, name):
     ours, theirs = core.QUERIES[name](spark, str(SF)).toPandas(), duck.execute(core.ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns) and normal(ours) == normal(theirs)
