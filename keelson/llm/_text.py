@@ -121,12 +121,13 @@ class Block:
         return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[self.offsets])
 
 
-def blocks(texts: pa.Array, fold: bool = False) -> Iterator[Block]:
-    """Blocks of whole documents, in order. fold: lower-case A-Z."""
+def blocks(texts: pa.Array, fold: bool = False, size: int | None = None) -> Iterator[Block]:
+    """Blocks of whole documents of about `size` bytes, in order. fold: lower-case A-Z."""
+    size = size or BLOCK
     data, offsets = as_bytes(texts)
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         part = data[offsets[i] : offsets[j]]
         yield Block(i, FOLD[part] if fold else part, offsets[i : j + 1] - offsets[i])
         i = j

@@ -85,7 +85,7 @@ def segments(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), size=1 << 18):
                 step = PART - length + 1
                 # Only a block of one text can be longer than a part.
                 for lo in range(0, max(1, len(block.data) - length + 1), step):
@@ -103,16 +103,16 @@ def segments(docs: DataFrame, length: int, seed: int) -> DataFrame:
 PIECES = "d1 bigint, d2 bigint, grp bigint, content bigint, start int, place int, lo int, hi int, data binary"
 
 
-def _halves(length: int):
-    """Split pieces: of the places lo to hi of the anchor in its strings, one half each, grouped by the bytes that all
+def _quarters(length: int):
+    """Split pieces: of the places lo to hi of the anchor in its strings, one quarter each, grouped by the bytes that all
     strings with such a place share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
             for d1, d2, grp, start, place, lo, hi, data in zip(*(batch.column(n).to_pylist() for n in ("d1", "d2", "grp", "start", "place", "lo", "hi", "data")), strict=True):
-                middle = (lo + hi) // 2
-                for a, b in ((lo, middle), (middle, hi)):
+                step = max(1, (hi - lo) // 4)
+                for a, b in ((a, a + step) for a in range(lo, hi, step)):
                     # Strings of this piece start at place - r, for r from a up to b.
                     low, high = max(0, place - b + 1), min(len(data) - length, place - a)
                     if low > high:
@@ -255,7 +255,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_c
         large = rows.where(F.col("members") > GROUP)
         if large.isEmpty():
             break
-        parts = materialize(large.drop("members").mapInArrow(_halves(length), PIECES), "suffix-parts")
+        parts = materialize(large.drop("members").mapInArrow(_quarters(length), PIECES), "suffix-parts")
         one = F.min(F.struct("d1", "d2", "start", "place", "lo", "hi", "data"))
         distinct = materialize(parts.groupBy("grp", "content").agg(F.count(F.lit(1)).alias("n"), one.alias("one")), "suffix-distinct")
         copies = parts.select("d1", "d2", "grp", "content", "start", F.octet_length("data").alias("size")).join(distinct.where("n > 1").select("grp", "content").hint("merge"), ["grp", "content"])
