@@ -6,8 +6,9 @@ Keys compare null-safely in all three outputs. Three strategies give equal resul
 * `hash`: both sides shrink to (keys, a 64-bit hash of the compared columns), and one full outer join of these says what is
   added, removed or may have changed. That is all that counts need; the changed rows are then joined whole, those keys only,
   and compared column by column.
-* `bloom`: like `full`, but rows that exist on one side only are found by anti-joins on key projections, which run-time
-  Bloom filters of Spark can prune, and changed rows by an inner join.
+* `bloom`: each side's keys make a Bloom filter (a job on either side, when the diff is made). What the other side's filter
+  lacks exists on one side only, and is in no join; the rest is told apart by an anti-join on keys, and compared by an inner
+  join. The choice when key sets differ much. Filters are built for up to `FILTER_KEYS` keys, a bound of 60 MB, else left out.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, any_of, flat, name, row_hash
+from ..plans import internals as I
 
 STRATEGIES = ("full", "hash", "bloom")
+#: Most keys of a Bloom filter, and its share of false positives.
+FILTER_KEYS, FALSE_POSITIVES = 50_000_000, 0.01
 
 
 @dataclass(frozen=True)
@@ -110,6 +114,17 @@ def _limited(df: DataFrame, keys: Sequence[str], limit: int | None) -> DataFrame
     return df if limit is None else df.orderBy(*[F.col(name(k)) for k in keys]).limit(limit)
 
 
+def _key_filter(df: DataFrame, key_names: list[str]) -> Column | None:
+    """Whether a row's keys may be among those of `df`; None where these are too many for a filter."""
+    hashed = F.xxhash64(*key_names)
+    items = df.count()
+    if items > FILTER_KEYS:
+        return None
+    if not items:
+        return F.lit(False)
+    return I.might_contain(df.sparkSession, hashed, I.bloom_filter(df.select(hashed.alias("h")), "h", items, FALSE_POSITIVES))
+
+
 def _count(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("what"), "n")
 
@@ -131,9 +146,16 @@ def diff(left: DataFrame, right: DataFrame, config: DiffConfig, strategy: str =
         # One pass, in which columns that aren't compared are pruned.
         counts = both.agg(F.count_if(only_right).alias("added"), F.count_if(only_left).alias("removed"), F.count_if(~only_right & ~only_left & any_of(_differs(columns))).alias("changed"))
     else:
+        alone_a = alone_b = None
+        if strategy == "bloom":
+            in_a, in_b = _key_filter(a, key_names), _key_filter(b, key_names)
+            if in_a is not None and in_b is not None:
+                alone_a, alone_b, a, b = a.where(~in_b), b.where(~in_a), a.where(in_b), b.where(in_a)
         ka, kb = a.select(key_names), b.select(key_names)
-        added = _whole(b.join(ka, _same_keys(b, ka, n), "left_anti"), "r", keys, right.columns)
-        removed = _whole(a.join(kb, _same_keys(a, kb, n), "left_anti"), "l", keys, left.columns)
+        added, removed = b.join(ka, _same_keys(b, ka, n), "left_anti"), a.join(kb, _same_keys(a, kb, n), "left_anti")
+        if alone_a is not None:
+            added, removed = added.union(alone_b), removed.union(alone_a)
+        added, removed = _whole(added, "r", keys, right.columns), _whole(removed, "l", keys, left.columns)
         narrow = None
         if strategy == "hash" and columns:
             short = lambda df, h: df.select(*[F.col(name(k)).alias(f"k{i}") for i, k in enumerate(keys)], row_hash(df, columns).alias(h))

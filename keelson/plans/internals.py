@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What failing Spark actions raise.
 SPARK_ERRORS = (Py4JJavaError, PySparkException)
@@ -75,9 +76,23 @@ def frame(spark: SparkSession, node) -> DataFrame:
 
 
 def column(spark: SparkSession, expression):
-    from pyspark.sql.classic.column import Column
+    from pyspark.sql.classic.column import Column as Classic
 
-    return Column(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+    return Classic(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+
+
+def bloom_filter(df: DataFrame, column: str, items: int, false_positives: float) -> bytes:
+    """A Bloom filter of a column of longs, built by an aggregation: about 1.2 MB for a million items at one in a hundred."""
+    out = df.sparkSession._jvm.java.io.ByteArrayOutputStream()
+    df._jdf.stat().bloomFilter(column, max(1, items), false_positives).writeTo(out)
+    return bytes(out.toByteArray())
+
+
+def might_contain(spark: SparkSession, value: Column, filter_: bytes) -> Column:
+    """Whether a filter may hold the value (a long), as Spark's own run-time filters ask."""
+    jvm = spark._jvm.org.apache.spark.sql
+    of = jvm.classic.ExpressionUtils.expression
+    return column(spark, jvm.catalyst.expressions.BloomFilterMightContain(of(F.lit(bytearray(filter_))._jc), of(value._jc)))
 
 
 def with_children(spark: SparkSession, node, new: list):

@@ -108,7 +108,7 @@ def from_session(spark: SparkSession) -> Metrics:
     for s in I.scala_list(store.stageList(none, False, False, I.doubles(spark, []), none)):
         speculative = s.speculationSummary()
         stages.append((s.stageId(), s.attemptId(), s.name(), s.status().toString(), s.numTasks(), s.numCompleteTasks(), s.numFailedTasks(), speculative.get().numTasks() if speculative.isDefined() else 0, s.executorRunTime(), s.executorCpuTime(), s.jvmGcTime(), s.inputBytes(), s.shuffleReadBytes(), s.shuffleWriteBytes(), s.shuffleRemoteBytesReadToDisk(), s.memoryBytesSpilled(), s.diskBytesSpilled()))
-        for t in I.scala_list(store.taskList(s.stageId(), s.attemptId(), 1_000_000)):
+        for t in I.scala_list(store.taskList(s.stageId(), s.attemptId(), (1 << 31) - 1)):
             if t.status() == "SUCCESS" and t.taskMetrics().isDefined():
                 m = t.taskMetrics().get()
                 tasks.append((s.stageId(), s.attemptId(), t.taskId(), float(m.executorRunTime()), float(t.schedulerDelay()), float(m.executorDeserializeTime()), float(m.resultSerializationTime()), float(m.resultSize()), float(m.shuffleReadMetrics().fetchWaitTime())))

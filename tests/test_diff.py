@@ -82,6 +82,27 @@ def test_microseconds(spark, strategy):
     assert diff(left, right, DiffConfig(["id"]), strategy).summary().changed == 1
 
 
+def test_filters_keep_rows_out_of_joins(spark, monkeypatch):
+    """Keys of one side only don't reach the anti-join; without filters the rows are the same."""
+    left, right = spark.range(2000).withColumn("v", F.lit(1)), spark.range(1990, 4000).withColumn("v", F.lit(2))
+    out = diff(left, right, DiffConfig(["id"], limit=None), "bloom")
+    assert "might_contain" in out.added._jdf.queryExecution().executedPlan().toString()
+    got = out.summary()
+    monkeypatch.setattr("keelson.operators.diff.FILTER_KEYS", 10)
+    plain = diff(left, right, DiffConfig(["id"], limit=None), "bloom")
+    assert "might_contain" not in plain.added._jdf.queryExecution().executedPlan().toString()
+    assert (got.added, got.removed, got.changed) == (plain.summary().added, plain.summary().removed, plain.summary().changed) == (2000, 1990, 10)
+
+
+def test_negative_zero_and_nested_values(spark, strategy):
+    """0.0 and -0.0 are one value, also inside arrays; NaN is itself."""
+    left = spark.sql("SELECT 1 AS id, 0D AS v, array(0D) AS w, double('NaN') AS x UNION ALL SELECT 2, 1D, array(1D, NULL), 5D")
+    right = spark.sql("SELECT 1 AS id, -0D AS v, array(-0D) AS w, double('NaN') AS x UNION ALL SELECT 2, 1D, array(1D, 2D), 5D")
+    assert diff(left, right, DiffConfig(["id"], ["v", "x"]), strategy).summary().changed == 0
+    out = diff(left, right, DiffConfig(["id"]), strategy)
+    assert [(r["id"], r["changed_columns"]) for r in out.changed.collect()] == [(2, ["w"])] and out.summary().changed == 1
+
+
 def test_all_key_and_odd_names(spark, strategy):
     left = spark.createDataFrame([(1, 2), (3, 4)], "`a.b` int, `c d` int")
     right = spark.createDataFrame([(1, 2), (5, 6)], "`a.b` int, `c d` int")
