@@ -289,6 +289,14 @@ def test_lanes_of_a_hot_seed_meet():
     assert len(set(union_find(list(zip(*pairs.tolist(), strict=True)), [*range(2000), *range(3000, 3010)]).values())) == 1
 
 
+def test_passages_of_one_word(spark):
+    """Runs of a single word have one seed only, again and again; a text with a shorter run may be its hub."""
+    rng = random.Random(14)
+    rows = [(10 * g + i, " ".join([*words(rng, 30, 10**6), *[f"again{g}"] * n, *words(rng, 30, 10**6)])) for g in range(12) for i, n in enumerate((60, 55, 30, 25, 20))]
+    got = {tuple(sorted((r["doc_id"], r["other_doc_id"]))) for r in passage_chains.shared_passages(docs(spark, rows)).collect()}
+    assert got == {(10 * g, 10 * g + 1) for g in range(12)}
+
+
 def test_passages_of_copies_and_long_texts(spark):
     rng = random.Random(6)
     one, long = words(rng, 60, 10**6), words(rng, 60_000, 10**6)
