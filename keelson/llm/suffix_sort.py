@@ -6,8 +6,9 @@ on the string of their names. Then one pass in ascending order induces the L suf
 descending order the S suffixes. A suffix that is taken from the queues, smallest (largest) first, sends its predecessor,
 with the length of their common prefix, to the queue of the predecessor's first character; in that queue suffixes arrive in
 order, so the priority queue is one first-in-first-out queue per character. Queues, and every array with an entry for each
-suffix or S*, are on disk beyond `in_memory` entries; they are worked on in blocks by array operations. Only a recursion's
-last string, of up to `base_case` names, is sorted in memory.
+suffix or S*, are on disk beyond `in_memory` entries; they are worked on in blocks by array operations. What
+stays in memory: a recursion's last string, of up to `base_case` names (some 50 bytes each), and in a recursion above that a
+queue object for each distinct name.
 
 Prefixes are compared, and counted, up to `cap` characters only; suffixes equal that far come in any order.
 """
