@@ -141,3 +141,13 @@ def test_against_dictionaries(spark, a, b):
         assert sorted(str(r["id"]) for r in out.added.collect()) == sorted(map(str, b.keys() - a.keys()))
         assert sorted(str(r["id"]) for r in out.removed.collect()) == sorted(map(str, a.keys() - b.keys()))
         assert sorted(str(r["id"]) for r in out.changed.collect()) == changed
+
+
+def test_filters_are_no_literals(spark):
+    """Filters are subqueries: as literals, each plan that is printed, and the driver holds, had all their bytes as hex."""
+    left, right = spark.range(50_000).withColumn("v", F.lit(1)), spark.range(40_000, 90_000).withColumn("v", F.lit(2))
+    out = diff(left, right, DiffConfig(["id"], limit=None), "bloom")
+    for frame, n in ((out.added, 40_000), (out.removed, 40_000)):
+        plan = frame._jdf.queryExecution().toString()
+        assert "might_contain" in plan and len(plan) < 50_000
+        assert frame.count() == n
