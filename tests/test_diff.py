@@ -151,3 +151,13 @@ def test_filters_are_no_literals(spark):
         plan = frame._jdf.queryExecution().toString()
         assert "might_contain" in plan and len(plan) < 50_000
         assert frame.count() == n
+
+
+def test_bloom_counts_in_one_join(spark):
+    """Each stage that asks a filter has a copy in the driver; null and repeated keys count as in the other strategies."""
+    left = spark.createDataFrame([(None, 1), (1, 1), (1, 2), (2, 1), (3, 1)], "id int, v int")
+    right = spark.createDataFrame([(None, 2), (1, 1), (3, 1), (4, 1), (4, 2)], "id int, v int")
+    got = {s: diff(left, right, DiffConfig(["id"]), s).counts for s in STRATEGIES}
+    assert rows(got["bloom"]) == rows(got["full"]) == rows(got["hash"]) == [(2, 1, 2)]
+    plan = got["bloom"]._jdf.queryExecution().optimizedPlan().toString().split("Subquery")[0]
+    assert plan.count("Join ") == 1
