@@ -9,7 +9,8 @@ from keelson.operators.joins import (
 from keelson.operators.joins import split_broadcast
 from keelson.operators.joins.resilient import engine_join
 from keelson.operators.joins.split_broadcast import next_splits, parsed_size
-from keelson.plans.internals import executed_plan
+from keelson.operators.joins.strategies import known_size
+from keelson.plans.internals import executed_plan, size_in_bytes
 
 from .conftest import rows
 
@@ -196,3 +197,21 @@ def test_salt_rejects(skewed):
     for bad in (dict(sample_fraction=0), dict(multiplier=1), dict(salt_factor=1), dict(side="both")):
         with pytest.raises(ValueError):
             AutoSaltConfig(**bad)
+
+
+def test_broadcast_is_checked_by_rows(spark, tmp_path):
+    """Files may be a small part of their rows: 200 000 rows that repeat take some kilobytes."""
+    spark.range(200_000).select((F.col("id") % 2).alias("id"), F.lit(1).cast("long").alias("l")).write.parquet(str(tmp_path / "left"))
+    left, right = spark.read.parquet(str(tmp_path / "left")), spark.range(1, 3).withColumn("r", F.lit("r"))
+    limit = 1 << 20
+    assert size_in_bytes(left) < limit < known_size(left)
+    assert not BroadcastStrategy(limit).can_handle(left, right, "right", None) and BroadcastStrategy(64 << 20).can_handle(left, right, "right", None)
+    out = resilient_join(left, right, ["id"], "right", JoinConfig(broadcast_threshold_bytes=limit, cache=False))
+    assert "SortMergeJoin" in executed_plan(out) and out.count() == 100_001
+
+
+def test_engine_broadcast_is_checked_by_rows(spark, tmp_path):
+    spark.range(200_000).select((F.col("id") % 2000).alias("id"), F.lit(1).cast("long").alias("l")).write.parquet(str(tmp_path / "left"))
+    left, right = spark.read.parquet(str(tmp_path / "left")), spark.range(1999, 2001).withColumn("r", F.lit("r"))
+    out = engine_join(left, right, ["id"], "right", ResilientSettings(enabled=True, broadcast_threshold=1 << 20))
+    assert out.strategy == "shuffled_hash" and out.result.count() == 101
