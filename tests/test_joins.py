@@ -215,3 +215,14 @@ def test_engine_broadcast_is_checked_by_rows(spark, tmp_path):
     left, right = spark.read.parquet(str(tmp_path / "left")), spark.range(1999, 2001).withColumn("r", F.lit("r"))
     out = engine_join(left, right, ["id"], "right", ResilientSettings(enabled=True, broadcast_threshold=1 << 20))
     assert out.strategy == "shuffled_hash" and out.result.count() == 101
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "cross"])
+def test_split_beyond_the_driver(spark, monkeypatch, how):
+    """Parts that the driver can't gather are dealt by a shuffle."""
+    left, right = spark.range(100).withColumn("l", F.lit(1)), spark.range(50, 150)
+    keys, right = ([], right.withColumnRenamed("id", "r")) if how == "cross" else (["id"], right)
+    expected = rows(split_join(left, right, keys, how, 3))
+    monkeypatch.setattr(split_broadcast, "driver_heap", lambda _: 100)
+    out = split_join(left, right, keys, how, 3)
+    assert rows(out) == expected and "Broadcast" not in executed_plan(out)
