@@ -226,3 +226,14 @@ def test_split_beyond_the_driver(spark, monkeypatch, how):
     monkeypatch.setattr(split_broadcast, "driver_heap", lambda _: 100)
     out = split_join(left, right, keys, how, 3)
     assert rows(out) == expected and "Broadcast" not in executed_plan(out)
+
+
+@pytest.mark.parametrize(("kind", "swap"), [("right", False), ("left", True)])
+def test_outer_salt_of_the_side_that_is_not_preserved(spark, skewed, kind, swap):
+    """Matches by a salted join, then the rows that have none; equal rows, null keys and equal column names included."""
+    left, right = skewed
+    left, right = left.withColumnRenamed("l", "v"), right.union(right).withColumnRenamed("r", "v")
+    one, two = (right, left) if swap else (left, right)
+    out = auto_salt_join(one, two, ["id"], kind, FULL)
+    plain = one.join(two, "id", kind)
+    assert out.columns == plain.columns and rows(out) == rows(plain) and "__keelson_salt" in executed_plan(out)
