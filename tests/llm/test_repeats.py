@@ -325,6 +325,35 @@ def test_passages_that_a_hub_holds_in_part(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_passages_beyond_large_groups(spark, monkeypatch, tile):
+    """Pairs whose common seeds are all in groups larger than PAIRS, and that share nothing more with the group's hub."""
+    monkeypatch.setattr(passage_chains, "PAIRS", 4)
+    monkeypatch.setattr(passage_chains, "TILE", tile, raising=False)
+    rng = random.Random(8)
+    line, other, seen = words(rng, 22), words(rng, 22), []
+
+    def edited(base):  # no five words in a row stay, so that there are no common seeds
+        return [f"x{rng.randrange(1 << 40)}" if i % 5 == 4 else w for i, w in enumerate(base)]
+
+    rows = [words(rng, 30) + line + words(rng, 30) for _ in range(15)] + [words(rng, 9) + line + words(rng, 50) + other + words(rng, 9) for _ in range(15)]
+    rows += [words(rng, 20) + ["the"] * rng.randrange(20, 35) + words(rng, 30) for _ in range(15)]
+    before, after, between, around = words(rng, 14), words(rng, 14), words(rng, 8), words(rng, 16)
+    for planted in (
+        [edited(before) + line + edited(after) for _ in range(2)],  # words on both sides
+        [line + edited(between)[:size] + other for size in (8, 5)],  # two lines, not as far from each other
+        [edited(around) + ["the"] * size for size in (33, 36)],  # runs of one word, of different sizes
+    ):
+        seen.append((len(rows), len(rows) + 1))
+        rows += [words(rng, 25) + p + words(rng, 25) for p in planted]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    found = passage_chains.shared_passages(docs(spark, rows)).collect()
+    got = {tuple(sorted((r["doc_id"], r["other_doc_id"]))) for r in found}
+    assert set(seen) <= got, set(seen) - got
+    monkeypatch.setattr(passage_chains, "PAIRS", 10**6)
+    assert got == {tuple(sorted((r["doc_id"], r["other_doc_id"]))) for r in passage_chains.shared_passages(docs(spark, rows)).collect()}
+
+
 @pytest.mark.parametrize(("size", "edits", "least"), [(40, 0, 1.0), (60, 3, 0.98), (60, 6, 0.98), (60, 9, 0.95), (60, 12, 0.85), (100, 20, 0.95)])
 def test_recall_of_passages(spark, size, edits, least):
     """Of pairs with a passage at identity 1 to 0.8, by independent edits, nearly all are found."""
