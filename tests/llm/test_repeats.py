@@ -1,15 +1,19 @@
 """Near-duplicates, components, fuzzy passages, suffix sorting and repeated substrings, against brute force."""
 
+import contextlib
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keelson.llm import components, near_dedup, passage_chains, suffix_dedup, suffix_sort
+from keelson.llm import _common, components, near_dedup, passage_chains, suffix_dedup, suffix_sort
 
 DOCS = "doc_id long, text string, id int, row int, anchor string"
 
@@ -476,3 +480,94 @@ def test_parts_of_long_texts_give_all_strings():
             assert ((place >= 0) & (size >= 40)).all()
             seen |= {lo + s + i for s, n in zip(start, size, strict=True) for i in range(n - 39)}
         assert seen == set(range(len(text) - 39))
+
+
+def test_tasks_write_their_own_files(spark, monkeypatch, tmp_path):
+    """Hadoop starts a process for each file it makes in a folder, and leaves a checksum file (.crc) beside it."""
+    frame = spark.createDataFrame([(i, bytes([i])) for i in range(40)], "n bigint, packed binary").repartition(3)
+
+    def same(batches):
+        yield from batches
+
+    out = _common.materialize_arrow(frame, same, "n bigint, packed binary", "own")
+    assert sorted(map(tuple, out.collect())) == [(i, bytes([i])) for i in range(40)]
+    made = [f for _, _, files in os.walk(out.keelson_path.removeprefix("file://")) for f in files]
+    assert len(made) == 3 and all(f.startswith("part-") and f.endswith(".parquet") for f in made)
+    _common.discard(out)
+    assert not os.path.exists(out.keelson_path.removeprefix("file://"))
+    assert _common.materialize_arrow(frame.where("n < 0"), same, "n bigint, packed binary", "own").count() == 0
+    # A folder that isn't a path is left to Spark's writer.
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: f"file:{tmp_path}")
+    assert _common.materialize_arrow(frame, same, "n bigint, packed binary", "own").count() == 40
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: str(tmp_path))
+    assert _common.materialize_arrow(frame, same, "n bigint, packed binary", "own").count() == 40
+    assert any(f.endswith(".crc") for _, _, files in os.walk(tmp_path) for f in files)
+
+
+def test_first_attempt_at_a_file_stays(monkeypatch, tmp_path):
+    class Context:
+        def __init__(self, attempt):
+            self.attempt = attempt
+
+        def partitionId(self):  # noqa: N802
+            return 0
+
+        def taskAttemptId(self):  # noqa: N802
+            return self.attempt
+
+    def broken(batches):
+        yield from batches
+        raise ValueError
+
+    for attempt, run in enumerate((broken, iter, iter)):
+        monkeypatch.setattr(_common.TaskContext, "get", lambda attempt=attempt: Context(attempt))
+        with contextlib.suppress(ValueError):
+            list(_common._to_file(run, str(tmp_path))(iter([pa.record_batch({"n": [attempt]})])))
+    assert os.listdir(tmp_path) == ["part-00000.parquet"] and pq.read_table(tmp_path / "part-00000.parquet")["n"].to_pylist() == [1]
+
+
+def test_chains_write_no_file_by_hadoop(spark, monkeypatch):
+    """Only steps that don't end in Python are left to Spark's writer; chains of a text in several rows give the same passages."""
+    rng, labels = random.Random(5), []
+    monkeypatch.setattr(passage_chains, "materialize", lambda df, label, put=passage_chains.materialize: labels.append(label) or put(df, label))
+    common = words(rng, 60)
+    rows = [(i, " ".join(words(rng, 30) + common + words(rng, 30))) for i in range(12)]
+    get = lambda: sorted(map(tuple, passage_chains.shared_passages(docs(spark, rows)).collect()))
+    one = get()
+    assert not {"chain-lists", "chain-postings", "chains", "chain-passages", "chain-open", "chain-found"} & set(labels)
+    monkeypatch.setattr(passage_chains, "SIDES", 2)
+    assert len(one) >= 11 and get() == one
+
+
+def slow_can_hold(equal, k, least_words, least_identity):
+    """By all spans around the middle, each run of k equal words joined with those up to COMPACT words on."""
+    out = []
+    for row in equal.tolist():
+        runs = [i for i in range(len(row) - k + 1) if all(row[i : i + k])]
+        same = list(row)
+        for a, b in zip(runs[:-1], runs[1:], strict=True):
+            if b - a <= passage_chains.COMPACT:
+                same[a : b + 1] = [True] * (b - a + 1)
+        middle = (len(row) - k) // 2
+        spans = [(i, j) for i in range(middle + 1) for j in range(middle + k, len(row) + 1)]
+        out.append(any(sum(same[i:middle]) + k + sum(same[middle + k : j]) >= max(least_words, least_identity * (j - i) - 1e-9) for i, j in spans))
+    return out
+
+
+def test_can_hold():
+    rng = np.random.default_rng(4)
+    equal = rng.random((120, 65)) < rng.choice([0.3, 0.6, 0.75, 0.9], (120, 1))
+    equal[:, 30:35] = True
+    got = passage_chains.can_hold(equal, 5, 20, 0.8).tolist()
+    assert got == slow_can_hold(equal, 5, 20, 0.8) and 10 < sum(got) < 110
+
+
+def test_matches_of_a_pair_by_places():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        one, two = (passage_chains.Postings(np.full(n, n), np.arange(n), rng.integers(0, 12, n)) for n in (30, 40))
+        want = set()
+        for seed in set(one.seed.tolist()) & set(two.seed.tolist()):
+            xs, ys = (p.place[p.seed == seed].tolist() for p in (one, two))
+            want |= {(xs[0], y) for y in ys} | {(x, ys[0]) for x in xs} | set(zip(xs, ys, strict=False))
+        assert {(x, y) for x, y in passage_chains.pair_matches(one, two)} == want
