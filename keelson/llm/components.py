@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize_arrow, materialize_rows
 
 LOCAL = 1 << 20
 
@@ -65,11 +65,11 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     component: the smallest vertex that is reached. Loops and repeated edges do no harm.
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
-    now = materialize(edges.select(high.alias("u"), low.alias("v")).where("u > v"), label)
+    now = materialize_rows(edges.select(high.alias("u"), low.alias("v")).where("u > v"), label)
     if now.count() <= LOCAL:
-        now = materialize(now.repartition(1).mapInArrow(_solved, "u bigint, v bigint"), label)
+        now = materialize_arrow(now.repartition(1), _solved, "u bigint, v bigint", label)
     else:
-        now = materialize(now.distinct(), label)
+        now = materialize_rows(now.distinct(), label)
         while not _settled(now):
-            now = materialize(_stars(materialize(_stars(now, True), label), False), label)
+            now = materialize_rows(_stars(materialize_rows(_stars(now, True), label), False), label)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

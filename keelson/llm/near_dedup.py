@@ -32,10 +32,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import attach, discard, materialize, width_for, with_key
+from ._common import attach, discard, materialize_arrow, materialize_rows, width_for, with_key
 from ._text import GOLD, U64, Block, as_bytes, blocks, mix, prefix_hashes, shingles, span_hashes
 from .components import components
 
@@ -99,18 +100,19 @@ def root_picks(trees: int) -> list[tuple[int, int]]:
     return out
 
 
-SETS = "id {id}, kid string, kh bigint, n_shingles bigint, class_key binary, roots array<bigint>, signature binary"
+SETS = "id {id}, kid string, kh bigint, n_shingles bigint, class_key binary, roots array<bigint>, signature binary, row bigint"
 
 
 def describe(docs: DataFrame, k: int, trees: int, id_col: str, text_col: str) -> DataFrame:
-    """A row per document: its key, size of its set, key of its class, roots (nodes below the roots of the trees), and
-    signature (8 bits of each minwise token)."""
+    """A row per document: its key, size of its set, key of its class, roots (nodes below the roots of the trees), signature
+    (8 bits of each minwise token), and a number of its own; materialized."""
     rows = with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").select("id", F.col("_kid").alias("kid"), F.col("_kh").alias("kh"), "text")
     picks = root_picks(trees)
     tree_salt = mix(np.array([(t + 1) * 1000 + p for t, p in picks]).astype(U64))
     tokens = [p for _, p in picks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for block in blocks(batch.column(3), fold=True):
                 hashes, before, whole, _ = document_shingles(block, k)
@@ -124,12 +126,13 @@ def describe(docs: DataFrame, k: int, trees: int, id_col: str, text_col: str) ->
                     nodes = mix(minima[:, tokens] ^ tree_salt).view(np.int64)
                     bits = (minima & U64(0xFF)).astype(np.uint8)
                     pairs = np.ascontiguousarray(whole[:, full].T)
-                    for row, d in enumerate(full):
-                        keys[d], roots[d], signatures[d] = pairs[row].tobytes(), nodes[row], bits[row].tobytes()
+                    for i, d in enumerate(full):
+                        keys[d], roots[d], signatures[d] = pairs[i].tobytes(), nodes[i], bits[i].tobytes()
                 own = [batch.column(i).slice(block.first, block.n) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["id", "kid", "kh", "n_shingles", "class_key", "roots", "signature"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(signatures, pa.binary()), pa.array(np.arange(row, row + block.n))], names=["id", "kid", "kh", "n_shingles", "class_key", "roots", "signature", "row"])
+                row += block.n
 
-    return rows.mapInArrow(run, SETS.format(id=rows.schema["id"].dataType.simpleString()))
+    return materialize_arrow(rows, run, SETS.format(id=rows.schema["id"].dataType.simpleString()), "near-sets")
 
 
 def _sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -290,12 +293,12 @@ def _walk(k: int, percent: int, small: int, heavy: int):
     return run
 
 
-def _compare(rows: DataFrame, width: int, k: int, percent: int, small: int | None = None) -> DataFrame:
+def _compare(rows: DataFrame, width: int, k: int, percent: int, label: str, small: int | None = None) -> DataFrame:
     """What links within each node of `rows` (MEMBER) unite, and the members of larger nodes than `small`, if given, in the
-    nodes below."""
+    nodes below; materialized."""
     text = F.col("text") if "text" in rows.columns else F.lit(None).cast("string").alias("text")
     rows = rows.select("node", "rep", "component", "n_shingles", "signature", text)
-    return rows.repartition(width, "node").sortWithinPartitions("node", "rep").mapInArrow(_walk(k, percent, small or 1 << 40, HEAVY if small else 1 << 60), OUT)
+    return materialize_arrow(rows.repartition(width, "node").sortWithinPartitions("node", "rep"), _walk(k, percent, small or 1 << 40, HEAVY if small else 1 << 60), OUT, label)
 
 
 def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -310,25 +313,25 @@ def _contract(members: DataFrame, found: list[DataFrame], width: int, k: int, pe
     exact, columns = "text" in members.columns, members.columns
 
     def links(groups: DataFrame) -> DataFrame:
-        return materialize(_compare(groups, width, k, percent).select("a", "b"), f"near-links-{label}")
+        return _compare(groups, width, k, percent, f"near-links-{label}").select("a", "b")
 
     pieces = F.ceil(F.greatest(F.col("n") / SMALL, F.col("weight") / HEAVY if exact else F.lit(0.0)))
     sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     sizes = sizes.where("n > 1 AND lo < hi").select("node", F.when(F.col("n") == 2, F.lit(1)).otherwise(pieces).cast("long").alias("pieces"))
-    dealt = members.join(materialize(sizes, f"near-sizes-{label}").hint("merge"), "node")
+    dealt = members.join(materialize_rows(sizes, f"near-sizes-{label}").hint("merge"), "node")
     part = lambda at: F.when(F.col("pieces") == 1, F.col("node")).otherwise(F.xxhash64("node", at))
-    dealt = materialize(dealt.withColumn("part", part(F.pmod(F.xxhash64("rep", "node"), F.col("pieces")))), f"near-dealt-{label}")
+    dealt = materialize_rows(dealt.withColumn("part", part(F.pmod(F.xxhash64("rep", "node"), F.col("pieces")))), f"near-dealt-{label}")
     found.append(links(dealt.withColumn("node", F.col("part"))))
-    large = materialize(_with_component(dealt.where("pieces > 1"), reduce(DataFrame.union, found)), f"near-large-{label}")
+    large = materialize_rows(_with_component(dealt.where("pieces > 1"), reduce(DataFrame.union, found)), f"near-large-{label}")
     kinds = large.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).groupBy("node")
     kinds = kinds.agg(F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     few = (F.col("n") - F.col("top.n") <= SMALL) & (F.lit(not exact) | (F.col("weight") - F.col("top.weight") <= HEAVY))
-    kinds = materialize(kinds.select("node", F.col("top.component").alias("major"), few.alias("few")), f"near-kinds-{label}")
-    large = materialize(large.join(kinds.hint("merge"), "node"), f"near-mixed-{label}")
+    kinds = materialize_rows(kinds.select("node", F.col("top.component").alias("major"), few.alias("few")), f"near-kinds-{label}")
+    large = materialize_rows(large.join(kinds.hint("merge"), "node"), f"near-mixed-{label}")
     minors = large.where("few AND component <> major").withColumn("part", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda at: F.xxhash64("node", at))))
     groups = large.where("few AND component = major").select("part", *columns).union(minors.select("part", *columns))
     found.append(links(groups.withColumn("node", F.col("part"))))
-    return materialize(large.where("NOT few").select(*columns).mapInArrow(_passed, OUT).select(*columns), f"near-members-{label}")
+    return materialize_arrow(large.where("NOT few").select(*columns), _passed, OUT, f"near-members-{label}")
 
 
 def _descend(members: DataFrame, links: DataFrame | None, k: int, percent: int, label: str) -> DataFrame:
@@ -340,8 +343,8 @@ def _descend(members: DataFrame, links: DataFrame | None, k: int, percent: int,
     per_row, per_shingle = (240, 8) if exact else (240, 0)
     columns = [c for c in MEMBER if exact or c != "text"]
     members = _with_component(members, links) if links is not None else members.withColumn("component", F.col("rep"))
-    members = materialize(members.select(*columns), f"near-members-{label}")
-    found, level = [] if links is None else [links], 0
+    members = materialize_rows(members.select(*columns), f"near-members-{label}")
+    found, level, own = [] if links is None else [links], 0, members
     while True:
         rows, weight = members.agg(F.count(F.lit(1)), F.sum("n_shingles")).first()
         if not rows:
@@ -352,18 +355,21 @@ def _descend(members: DataFrame, links: DataFrame | None, k: int, percent: int,
             # Nodes with so many members, of which there are few, pass their members on at once, wherever these are.
             most = max(SMALL, rows // HOT_NODES)
             hot = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("node")
-            hot = materialize(hot, f"near-hot-{label}") if rows > most else None
+            hot = materialize_rows(hot, f"near-hot-{label}") if rows > most else None
             few = members if hot is None else members.join(F.broadcast(hot), "node", "left_anti")
-            walked = materialize(_compare(few, width, k, percent, SMALL), f"near-walk-{label}")
+            walked = _compare(few, width, k, percent, f"near-walk-{label}", SMALL)
             found.append(walked.where("a IS NOT NULL").select("a", "b"))
-            below = walked.where("a IS NULL").select(*columns)
+            below, passed = walked.where("a IS NULL").select(*columns), None
             if hot is not None and not hot.isEmpty():
-                below = below.union(members.join(F.broadcast(hot), "node").select(*columns).mapInArrow(_passed, OUT).select(*columns))
-            passed = materialize(below, f"near-members-{label}")
-            discard(members)
-            members = passed
+                passed = materialize_arrow(members.join(F.broadcast(hot), "node").select(*columns), _passed, OUT, f"near-members-{label}")
+                below = below.union(passed.select(*columns))
+            members = below
         else:
-            members = _contract(members, found, width, k, percent, label)
+            passed = _contract(members, found, width, k, percent, label)
+            members = passed.select(*columns)
+        # What nothing reads again; `walked` holds links.
+        discard(own)
+        own = passed
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a bigint, b bigint")
 
 
@@ -385,33 +391,33 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
 
 
 def links(docs: DataFrame, described: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(classes: class_key, rep, id; links between classes: a < b, by rep). described: with `row`."""
+    """(classes: class_key, rep, id; links between classes: a < b, by rep). described: as `describe` makes it."""
     spark = docs.sparkSession
     full = described.where("class_key IS NOT NULL")
     # The class is named by its first row in order of id, null last.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("m")
-    classes = materialize(full.groupBy("class_key").agg(first).select("class_key", F.col("m.row").alias("rep"), F.col("m.id").alias("id")), "near-classes")
-    reps = materialize(full.join(classes.select("rep").hint("merge"), F.col("row") == F.col("rep")).select("rep", "kid", "kh", "n_shingles", "roots", "signature"), "near-reps")
+    classes = materialize_rows(full.groupBy("class_key").agg(first).select("class_key", F.col("m.row").alias("rep"), F.col("m.id").alias("id")), "near-classes")
+    reps = materialize_rows(full.join(classes.select("rep").hint("merge"), F.col("row") == F.col("rep")).select("rep", "kid", "kh", "n_shingles", "roots", "signature"), "near-reps")
 
     # Families: what signatures link.
     rows = reps.select("rep", "n_shingles", "signature", F.explode("roots").alias("node"))
     of = components(_descend(rows, None, k, percent, "likely"))
     of = of.union(of.select(F.col("component").alias("id"), "component").distinct()).withColumnsRenamed({"id": "rep", "component": "family"})
-    owned = materialize(of.join(reps.hint("merge"), "rep"), "near-owned")
-    sizes = materialize(owned.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")), "near-sizes")
+    owned = materialize_rows(of.join(reps.hint("merge"), "rep"), "near-owned")
+    sizes = materialize_rows(owned.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")), "near-sizes")
     large = F.expr(f"n > 2 AND (n > {SMALL} OR weight > {HEAVY})")
     rows, weight, some = sizes.agg(F.sum("n"), F.sum("weight"), F.count_if(large)).first()
-    texts = materialize(_texts(docs, owned.drop("roots"), id_col, text_col), "near-texts")
+    texts = materialize_rows(_texts(docs, owned.drop("roots"), id_col, text_col), "near-texts")
 
     # Small families meet; large ones descend on full sets.
     width = width_for(spark, (rows or 0) * 240 + (weight or 0) * 8)
     marked = texts.join(sizes.where(large).select("family", F.lit(True).alias("large")).hint("merge"), "family", "left") if some else texts
     small = marked.where("large IS NULL") if some else texts
     small = small.select(F.col("family").alias("node"), "rep", F.col("rep").alias("component"), "n_shingles", "signature", "text")
-    found = materialize(_compare(small, width, k, percent).select("a", "b"), "near-links")
+    found = _compare(small, width, k, percent, "near-links").select("a", "b")
     if some:
-        own = materialize(marked.where("large").drop("family", "large"), "near-own")
-        roots = materialize(own.select("rep").join(reps.select("rep", "roots").hint("merge"), "rep"), "near-inside")
+        own = materialize_rows(marked.where("large").drop("family", "large"), "near-own")
+        roots = materialize_rows(own.select("rep").join(reps.select("rep", "roots").hint("merge"), "rep"), "near-inside")
 
         def members(picks: Column, links: DataFrame | None) -> DataFrame:
             """At nodes that hold several components."""
@@ -435,15 +441,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     component_id: the smallest id among the documents that links reach. kept: id = component_id. stays: true for one row of
     each component, also where ids are null or repeated.
     """
-    described = describe(docs, k, trees, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    described = materialize(described, "near-sets")
+    described = describe(docs, k, trees, id_col, text_col)
     classes, found = links(docs, described, k, percent, id_col, text_col)
-    joined = components(materialize(found, "near-links"))
+    joined = components(found)
     named = classes.join(joined.withColumnRenamed("id", "rep_").withColumnRenamed("component", "top").hint("merge"), F.col("rep") == F.col("rep_"), "left").withColumn("top", F.coalesce("top", "rep"))
-    named = materialize(named.select("class_key", "rep", "id", "top"), "near-named")
+    named = materialize_rows(named.select("class_key", "rep", "id", "top"), "near-named")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rep").alias("rep"))).alias("m")
-    tops = materialize(named.groupBy("top").agg(first).select("top", F.col("m.id").alias("component_id"), F.col("m.rep").alias("first_row")), "near-tops")
-    named = materialize(named.join(tops.hint("merge"), "top").select("class_key", "component_id", "first_row"), "near-named")
+    tops = materialize_rows(named.groupBy("top").agg(first).select("top", F.col("m.id").alias("component_id"), F.col("m.rep").alias("first_row")), "near-tops")
+    named = materialize_rows(named.join(tops.hint("merge"), "top").select("class_key", "component_id", "first_row"), "near-named")
     out = described.select("id", "kid", "kh", "row", "n_shingles", "class_key").join(named.hint("merge"), "class_key", "left")
     alone = F.col("class_key").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))

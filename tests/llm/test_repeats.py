@@ -124,6 +124,33 @@ def test_near_large_families(spark, near_rows, monkeypatch):
         assert len({r["component_id"] for r in out if r["n_shingles"]}) == want
 
 
+def test_near_copies_write_no_file_by_hadoop(spark, near_rows, monkeypatch):
+    """Hadoop starts a process for each file it makes in a folder, and leaves a checksum file (.crc) beside it."""
+    few = near_rows[-140:]
+    want = Counter(map(tuple, near_dedup.near_duplicates(docs(spark, few), k=4).drop("_kid", "_kh").collect()))
+    for module, name, value in ((near_dedup, "SMALL", 8), (near_dedup, "CONTRACT", 2), (near_dedup, "HOT_NODES", 50)):
+        monkeypatch.setattr(module, name, value)
+    top = f"{_common.shared_dir(spark).removeprefix('file://')}/keelson/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(top))
+    assert Counter(map(tuple, near_dedup.near_duplicates(docs(spark, few), k=4).drop("_kid", "_kh").collect())) == want
+    monkeypatch.setattr(components, "LOCAL", 0)
+    assert components.components(spark.createDataFrame([(1, 2), (3, 2)], "a long, b long"), "stars").count() == 2
+    made = [(d, f) for d in set(os.listdir(top)) - before for _, _, files in os.walk(f"{top}/{d}") for f in files]
+    assert {"near-sets", "near-walk-likely", "near-large-first", "edges", "stars"} <= {d.rpartition("-")[0] for d, _ in made}
+    assert all(f.startswith("part-") and f.endswith(".parquet") for _, f in made)
+
+
+def test_rows_come_back_from_tasks_files(spark, monkeypatch, tmp_path):
+    """All kinds that an id or a column of an operator has, as Spark's writer keeps them."""
+    kinds = "1L AS a, 'x' AS b, 1.50BD AS c, DATE'2020-02-03' AS d, TIMESTAMP'1850-02-03 04:05:06.789012' AS e, TIMESTAMP_NTZ'2020-02-03 04:05:06' AS f, X'00ff' AS g, array(1L, NULL) AS h, array(named_struct('v', true, 'n', 3)) AS i, 2S AS j, 0.5D AS k, map('x', 1) AS l"
+    frame = spark.sql(f"SELECT {kinds} UNION ALL SELECT {', '.join(f'NULL AS {c}' for c in 'abcdefghijkl')}").repartition(2)
+    own, other = _common.materialize_rows(frame, "rows"), _common.materialize(frame, "rows")
+    assert own.schema.simpleString() == other.schema.simpleString() and sorted(map(str, own.collect())) == sorted(map(str, other.collect())) == sorted(map(str, frame.collect()))
+    assert _common.materialize_rows(frame.limit(0), "rows").count() == 0
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: str(tmp_path))
+    assert _common.materialize_rows(frame, "rows").count() == 2
+
+
 def test_near_recall_in_deep_nodes(spark, monkeypatch):
     """Pairs just above the threshold, among many texts of one template that are below it: nodes branch many times."""
     monkeypatch.setattr(near_dedup, "SMALL", 8)
